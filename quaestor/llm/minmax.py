@@ -17,6 +17,11 @@ from quaestor.llm.kernel import U, mix, shingles, word_hashes
 BANDS, ROWS = 32, 5
 
 
+#: Counters of the sketch that orders grams by how common they are.
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
+
+
 def signature(grams: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> np.ndarray:
     """A row of band keys for each set (sets are not empty). Each permutation gives two values, its minimum and its maximum."""
     rng = np.random.default_rng(seed)
@@ -73,19 +78,71 @@ def _sets(n: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, stash: Stash) -> DataFrame:
-    """Those of ``pairs`` (u, v: ids of representatives) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def _full(ids: DataFrame, reps: DataFrame, docs: DataFrame, n: int, stash: Stash) -> DataFrame:
+    """(id, grams): the full sets of these representatives. Texts are read again, by a sort-merge join: nothing that grows is broadcast."""
     ids = ids.join(reps.select("id", "d1").hint("merge"), "id")
-    # The text is read again for the documents of pairs alone; a sort-merge join, so that nothing that grows is broadcast.
     text = docs.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = stash.put(text.mapInArrow(_sets(n), "id long, d1 long, grams array<long>").join(ids.hint("merge"), ["id", "d1"]).dropDuplicates(["id"]))
+    return stash.put(text.mapInArrow(_sets(n), "id long, d1 long, grams array<long>").join(ids.hint("merge"), ["id", "d1"]).dropDuplicates(["id"]).select("id", "grams"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """Those of ``pairs`` (u, v: ids of representatives) whose full shingle sets are similar enough."""
     out = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("gu")).hint("merge"), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("gv")).hint("merge"), "v")
     both = F.size(F.array_intersect("gu", "gv"))
-    out = out.withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("gu") + F.size("gv") - F.col("both"))).select("u", "v")
-    out = stash.put(out)
-    stash.drop(sets)
-    return out
+    return stash.put(out.withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("gu") + F.size("gv") - F.col("both"))).select("u", "v"))
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of this partition hold grams of each hash, in chunks."""
+    seen = np.zeros(SKETCH, dtype=np.int64)
+    for batch in batches:
+        grams = np.asarray(batch.column("grams").flatten()).view(np.uint64)
+        seen += np.bincount((grams >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH)
+    if seen.any():
+        for k, part in enumerate(np.split(np.minimum(seen, 65535).astype(np.uint16), 64)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], ["chunk", "seen"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in table["seen"].to_pylist())
+    return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "seen": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()])})
+
+
+def _prefixes(held, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = held.value
+        for batch in batches:
+            ids, comps = np.asarray(batch.column("id")), np.asarray(batch.column("c"))
+            out = []
+            for k, grams in enumerate(batch.column("grams")):
+                g = np.asarray(grams.values).view(np.uint64)
+                n = len(g)
+                order = np.lexsort((g, seen[(g >> U(64 - SKETCH_BITS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                out.append((g[order].view(np.int64), np.arange(len(order)), np.full(len(order), ids[k]), np.full(len(order), n), np.full(len(order), comps[k])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["gram", "place", "id", "n", "c"])
+
+    return run
+
+
+def _between(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of ``sets`` (id, c, grams) of unlike components c that can be similar enough.
+
+    In any one order of all grams, a similar pair's first common gram lies in the prefix of each set, at places that leave
+    room for the overlap that the sizes ask for. Rare grams come first, by a sketch of fixed size that counts hashes; the
+    sketch bears on the work, not on the result. At each gram the rows outside its commonest component meet all others.
+    """
+    seen = np.zeros(SKETCH, dtype=np.uint16)
+    for chunk, part in sets.mapInArrow(_tallied, "chunk int, seen binary").groupBy("chunk").applyInArrow(_summed, "chunk int, seen binary").collect():  # 64 rows
+        seen[chunk * (SKETCH // 64) : (chunk + 1) * (SKETCH // 64)] = np.frombuffer(part, dtype=np.uint16)
+    rows = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(seen), percent), "gram long, place long, id long, n long, c long")
+    main = rows.groupBy("gram", "c").count().groupBy("gram").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("gram", "main")
+    rows = rows.join(main.hint("merge"), "gram")
+    other = rows.select("gram", F.col("place").alias("place2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
+    met = rows.where("c != main").join(other.hint("merge"), "gram").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("c") < F.col("c2"))))
+    met = met.where((F.col("n") - F.col("place") >= need) & (F.col("n2") - F.col("place2") >= need)).where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    return met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -93,8 +150,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
     Links join rows whose sets of distinct ``n``-word shingles have a Jaccard similarity of at least ``percent`` / 100.
     Rows with equal sets are one class, represented by its smallest id, so copies are never paired. In every band bucket the
-    smallest id is compared with all others; buckets whose members then still lie in several components have the pairs
-    between components compared too, so no candidate is dropped. ``kept``: the row's id is its component's smallest.
+    smallest id is compared with all others; members of buckets that then still hold several components are compared between
+    components too, by an exact prefix join, so no candidate is dropped. ``kept``: the row's id is its component's smallest.
 
     Null or empty text has an empty set and links with nothing. A row without id links with nothing: component_id is null,
     kept is true. Rows that repeat an id each have a row. No rows give no rows.
@@ -108,17 +165,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     hubs = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"))
     alike = f"100 * least(n, nu) >= {percent} * greatest(n, nu)"
     star = stash.put(banded.join(hubs.hint("merge"), "key").where("id != u").where(alike).select("u", F.col("id").alias("v")).distinct())
-    links = _confirmed(star, reps, docs, n, percent, stash)
+    sets = _full(star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct(), reps, docs, n, stash)
+    links = _confirmed(star, sets, percent, stash)
+    stash.drop(sets)
     comps = stash.put(components(links, stash))
-    # Buckets that still hold several components: the pairs between these.
-    placed = banded.join(comps.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    # Buckets that still hold several components: their members are compared between components.
+    placed = banded.join(comps.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = stash.put(placed.join(mixed.hint("merge"), "key", "left_semi"))
-    other = rest.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-    pairs = rest.join(other.hint("merge"), "key").where("c < cu").where(alike).select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
+    rest = stash.put(placed.join(mixed.hint("merge"), "key", "left_semi").groupBy("id").agg(F.min("c").alias("c")))
+    sets = _full(rest.select("id"), reps, docs, n, stash)
+    pairs = _between(sets.join(rest.hint("merge"), "id"), percent)
     pairs = stash.put(pairs.join(star.hint("merge"), ["u", "v"], "left_anti"))
-    more = _confirmed(pairs, reps, docs, n, percent, stash)
-    stash.drop(rest, pairs, star)
+    more = _confirmed(pairs, sets, percent, stash)
+    stash.drop(rest, pairs, star, sets)
     if more.head(1):
         stash.drop(comps)
         comps = stash.put(components(links.unionByName(more), stash))
