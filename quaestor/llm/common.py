@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Itera
     """The rows of a batch in runs of about ``limit`` bytes of ``column``; one row may be longer."""
     import numpy as np
 
-    size = np.cumsum(np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast(pa.int64()).buffers()[1], dtype=np.int64, count=batch.num_rows)) if batch.num_rows else []
+    size = np.cumsum(np.frombuffer(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()).buffers()[1], dtype=np.int64, count=batch.num_rows)) if batch.num_rows else []
     start = 0
     while start < batch.num_rows:
         done = size[start - 1] if start else 0

@@ -5,15 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaestor.llm import minmax
+from quaestor.llm import bpe, chat, langid, minmax, packing, posting, projections, resampling, urls
+from quaestor.llm.common import fold
+
+# The rules that the URL query applies.
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+#: The turns of the conversation that is added to the table: control strings in both roles.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents = _table("documents")
+documents, conversations, pages, embeddings, labels = map(_table, ("documents", "conversations", "pages", "embeddings", "labels"))
+
+
+def vocabulary() -> str:
+    """The place of the public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` in sequences of 4096 ids, mixed in the sources' own proportions."""
+    return packing.packed(documents(spark, sf_dir), vocabulary()).drop("ids")
+
+
+def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all ``documents``, learnt from three of four folds."""
+    docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 4) == 2)
+    held = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 4 = 2")
+    return langid.predicted(docs, docs.where("not held_out")).select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all ``conversations`` and one of control strings, read back from their formatted texts."""
+    turns = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")))
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and draw of all ``documents``; the target is what ``labels`` calls good."""
+    return resampling.resampled(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all ``pages``."""
+    return urls.judged(pages(spark, sf_dir), urls.rule_table(spark, RULES))
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded texts of all ``documents``."""
+    return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +75,30 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(documents(spark, sf_dir), n=4, percent=80)
 
 
+def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest ``embeddings`` of every row whose id 100 divides."""
+    vectors = embeddings(spark, sf_dir)
+    return posting.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all ``embeddings``, cosine 0.95 or more."""
+    return projections.near_vectors(embeddings(spark, sf_dir), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minmax_dedup,)}
+    found = (op2_mixture_packing, op3_ppm_language_id, op4_chat_round_trip, op5_importance_resampling, op6_url_rules, op7_bpe_codec, op8_minmax_dedup, op9_posting_lists, op10_sorted_projections)
+    return {f.__name__: f for f in found}
+
+
+URL_SQL = r"""
+WITH r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+a AS (SELECT rowid AS i, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM (SELECT row_number() OVER () AS rowid, page_id, url FROM pages)),
+b AS (SELECT i, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM a),
+m AS (SELECT i, h || p AS rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(h) + length(p) DESC, length(h) DESC, verdict DESC) AS k FROM b JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM b LEFT JOIN m ON m.i = b.i AND m.k = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_rules": URL_SQL}
