@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import bpe, chat, langid, minmax, packing, posting, projections, resampling, urls
+from quaestor.llm import bpe, chat, interpolation, langid, minmax, packing, posting, projections, resampling, urls
 from quaestor.llm.common import fold
 
 # The rules that the URL query applies.
@@ -37,6 +37,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` under a model that four of five folds teach."""
+    return interpolation.scored_by_folds(documents(spark, sf_dir))
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` in sequences of 4096 ids, mixed in the sources' own proportions."""
     return packing.packed(documents(spark, sf_dir), vocabulary()).drop("ids")
@@ -87,7 +92,7 @@ def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mixture_packing, op3_ppm_language_id, op4_chat_round_trip, op5_importance_resampling, op6_url_rules, op7_bpe_codec, op8_minmax_dedup, op9_posting_lists, op10_sorted_projections)
+    found = (op1_deleted_interpolation, op2_mixture_packing, op3_ppm_language_id, op4_chat_round_trip, op5_importance_resampling, op6_url_rules, op7_bpe_codec, op8_minmax_dedup, op9_posting_lists, op10_sorted_projections)
     return {f.__name__: f for f in found}
 
 
