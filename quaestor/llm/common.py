@@ -68,3 +68,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Itera
         end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def with_rest(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the columns that operators read, and the row's own columns but ``text`` in a struct, so that no name clashes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaestor.llm.common import slices
+from quaestor.llm.common import as_before, slices, with_rest
 from quaestor.llm.kernel import utf8
 
 #: Training rows for each language (by hash of the id), longest training text in characters, languages, and the order.
@@ -159,6 +160,20 @@ def predicted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
     over the sum of that for all languages. ``bits``: code length a byte, null for ``und``. Rows that repeat an id each have a
     row; no rows give no rows.
     """
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rest.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["doc_id"]), "doc_id long, lang_pred string, score double, bits double")
+
+
+def accepted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int = ORDER) -> DataFrame:
+    """The rows of ``docs`` whose language can be told (not ``und``), with their columns; a null ``lang`` becomes the prediction."""
+    held = with_rest(docs)
+    schema = T.StructType([held.schema["text"], held.schema["rest"]]).add("lang_pred", "string").add("score", "double").add("bits", "double")
+    out = held.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["text", "rest"]), schema).where(F.col("lang_pred") != UNKNOWN)
+    back = as_before(out.withColumn("rest", F.col("rest").withField("lang", F.coalesce("rest.lang", "lang_pred"))) if "lang" in docs.columns else out, docs)
+    return back
+
+
+def _predictor(docs: DataFrame, training: DataFrame, rows: int, order: int, keep: list[str]):
     spark = docs.sparkSession
     found = sample(training, rows)
     held = spark.sparkContext.broadcast((found, order))
@@ -177,7 +192,6 @@ def predicted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
                     langs[fine] = np.array(model.langs, dtype=object)[best]
                     score[fine] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
                     each[fine] = least / np.maximum(1, np.asarray(pc.binary_length(texts)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(each, mask=~fine)], ["doc_id", "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(langs, pa.string()), pa.array(score), pa.array(each, mask=~fine)], [*keep, "lang_pred", "score", "bits"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    return run

@@ -185,3 +185,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; of rows with equal id and text one stays.
+
+    Rows without id stay. Where rows with one id have unlike texts, all stay if one of them is kept.
+    """
+    kept = near_duplicates(docs, n, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    held = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaestor.llm.common import Stash, slices
+from quaestor.llm.common import Stash, as_before, slices, with_rest
 from quaestor.llm.kernel import U, utf8, word_hashes
 
 #: Buckets of the hashed n-grams; lengths of the byte n-grams; labelled rows that the target model is fitted on, at most.
@@ -67,14 +68,14 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "raw": pa.array([add("raw")]), "target": pa.array([add("target")])})
 
 
-def _weighed(held):
+def _weighed(held, keep: tuple[str, ...] = ("doc_id", "quality")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = held.value
         for whole in batches:
             for batch in slices(whole, "text", 1 << 19):
                 b, row = grams(batch.column("text"))
                 weight = np.bincount(row, weights=ratio[b], minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(np.bincount(row, minlength=batch.num_rows)), pa.array(weight)], ["doc_id", "quality", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(np.bincount(row, minlength=batch.num_rows)), pa.array(weight)], [*keep, "n_grams", "log_weight"])
 
     return run
 
@@ -114,6 +115,27 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     above the number of rows, all are kept. Labels that contradict each other count as not good. Rows that repeat an id each
     have a row; no rows give no rows.
     """
+    keyed, least, _ = _keyed(docs, labels, k, seed)
+    return keyed.withColumn("kept", F.col("key") >= F.lit(least))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17) -> DataFrame:
+    """The rows that ``resampled`` keeps, with the columns of ``docs``: each row is weighed again, so that texts are not joined."""
+    _, least, ratio = _keyed(docs, labels, k, seed)
+    held = with_rest(docs)
+    schema = T.StructType([held.schema["doc_id"], held.schema["text"], held.schema["rest"]]).add("n_grams", "long").add("log_weight", "double")
+    out = held.mapInArrow(_weighed(docs.sparkSession.sparkContext.broadcast(ratio), ("doc_id", "text", "rest")), schema)
+    return as_before(out.where(_key(seed) >= F.lit(least)), docs)
+
+
+def _key(seed: int) -> Column:
+    """The log weight plus Gumbel noise from a hash of the id."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
+    return F.col("log_weight") - F.log(-F.log(uniform))
+
+
+def _keyed(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[DataFrame, float, np.ndarray]:
+    """(doc_id, n_grams, log_weight, key) of all rows, the least key that is kept, and the models' log ratio for each bucket."""
     spark = docs.sparkSession
     stash = Stash(spark)
     clean = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -125,9 +147,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
         raw[c : c + CHUNK], target[c : c + CHUNK] = np.frombuffer(r, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.any() else np.zeros(BUCKETS)
     weighed = stash.put(rows.mapInArrow(_weighed(spark.sparkContext.broadcast(ratio)), "doc_id long, quality int, n_grams long, log_weight double"))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
-    keyed = weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
+    keyed = weighed.withColumn("key", _key(seed))
     if k is None:
         least = weighed.where("quality = 1").agg(F.percentile_approx("log_weight", F.lit(LOST), F.lit(100_000))).first()[0]
         k = weighed.where(F.col("log_weight") >= least - ALLOWANCE).count() if least is not None and target.any() else 1 << 62
-    return keyed.select("doc_id", "n_grams", "log_weight", "key").withColumn("kept", F.col("key") >= F.lit(cut(keyed, k)))
+    return keyed.select("doc_id", "n_grams", "log_weight", "key"), cut(keyed, k), ratio
