@@ -68,7 +68,7 @@ def names(spark: SparkSession, surveys: dict[str, DataFrame]) -> DataFrame:
 
 def coverage(spark: SparkSession, surveys: dict[str, DataFrame]) -> DataFrame:
     """(variable, one 0/1 column a survey, total), the widest first."""
-    out = names(spark, surveys).groupBy("variable").pivot("survey", list(surveys)).agg(F.count("*").cast("int")).na.fill(0)
+    out = names(spark, surveys).groupBy("variable").pivot("survey", list(surveys)).agg(F.count("variable").cast("int")).na.fill(0)
     return out.withColumn("total", sum((col(s) for s in surveys), F.lit(0))).orderBy(F.desc("total"), "variable")
 
 
