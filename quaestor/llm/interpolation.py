@@ -133,13 +133,10 @@ def _sent(size: int, buckets: int):
                 order, border = own.orders[kind], own.borders(kind, buckets)
                 keys, (learn, kept) = keys[order], own.counts[kind]
                 learn, kept = learn[order], kept[order]
-                for b in range(buckets):
-                    x = slice(border[b], border[b + 1])
-                    if border[b + 1] > border[b]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([shard], pa.int64()), pa.array([packed_keys(keys[x])]), pa.array([packed_counts(learn[x])]), pa.array([packed_counts(learn[x] - kept[x])])],
-                            ["bucket", "kind", "shard", "keys", "learn", "deleted"],
-                        )
+                some = [b for b in range(buckets) if border[b + 1] > border[b]]
+                parts = [slice(border[b], border[b + 1]) for b in some]
+                columns = [some, [kind] * len(some), [shard] * len(some), *([f(x) for x in parts] for f in (lambda x: packed_keys(keys[x]), lambda x: packed_counts(learn[x]), lambda x: packed_counts(learn[x] - kept[x])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "shard", "keys", "learn", "deleted"])
 
     return run
 
