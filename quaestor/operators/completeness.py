@@ -33,14 +33,14 @@ def unit_targets(units: DataFrame, forms: DataFrame) -> DataFrame:
     target = (
         F.when(rule == "fixed_per_etablissement", F.col("n")).when(rule == "etab_field_positive", (F.coalesce("cases", F.lit(0)) > 0).cast("int")).when(rule == "by_etablissement_type", unit_type_target(F.col("kind")))
     )
-    return units.crossJoin(F.broadcast(forms.where("grain = 'etablissement'"))).select("unit", "form", target.cast("int").alias("cible"))
+    return units.crossJoin(forms.where("grain = 'etablissement'")).select("unit", "form", target.cast("int").alias("cible"))
 
 
 def district_targets(districts: DataFrame, units: DataFrame, forms: DataFrame) -> DataFrame:
     """(district, form, cible) for the forms of district grain."""
     cases = units.groupBy("district").agg(F.sum(F.coalesce("cases", F.lit(0))).alias("cases"))
     target = F.when(F.col("rule") == "fixed_per_district", F.col("n")).when(F.col("rule") == FLOOR_RULE, F.coalesce("cases", F.lit(0)))
-    return districts.join(cases, "district", "left").crossJoin(F.broadcast(forms.where("grain = 'district'"))).select("district", "form", target.cast("int").alias("cible"))
+    return districts.join(cases, "district", "left").crossJoin(forms.where("grain = 'district'")).select("district", "form", target.cast("int").alias("cible"))
 
 
 def national_targets(units: DataFrame, districts: DataFrame, forms: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def unmatched(units: DataFrame, counted: DataFrame) -> DataFrame:
 def district_completeness(districts: DataFrame, counted: DataFrame, targets: DataFrame, floors: DataFrame) -> DataFrame:
     """(district, form, recu, cible, taux, statut); ``counted``: (form, unit = district code, n); ``floors``: (form) whose target is a floor."""
     got = targets.join(counted.withColumnRenamed("unit", "district"), ["district", "form"], "left").withColumn("recu", F.coalesce("n", F.lit(0)).cast("long"))
-    got = got.join(F.broadcast(floors.select("form", F.lit(True).alias("floor"))), "form", "left").join(districts.select("district"), "district", "left_semi")
+    got = got.join(floors.select("form", F.lit(True).alias("floor")), "form", "left").join(districts.select("district"), "district", "left_semi")
     return graded(got, F.coalesce("floor", F.lit(False))).select("district", "form", "recu", "cible", "taux", "statut")
 
 
@@ -78,7 +78,7 @@ def rolled(cells: DataFrame, *keys: str, floors: DataFrame | None = None) -> Dat
     out = cells.groupBy(*keys, "form").agg(F.sum("recu").alias("recu"), F.sum("cible").alias("cible"))
     if floors is None:
         return graded(out)
-    out = out.join(F.broadcast(floors.select("form", F.lit(True).alias("floor"))), "form", "left")
+    out = out.join(floors.select("form", F.lit(True).alias("floor")), "form", "left")
     return graded(out, F.coalesce("floor", F.lit(False))).select(*keys, "form", "recu", "cible", "taux", "statut")
 
 
@@ -108,7 +108,7 @@ def zero(cells: DataFrame) -> DataFrame:
 def excess(cells: DataFrame, threshold: float = 2.0, floors: DataFrame | None = None) -> DataFrame:
     """Cells with ``threshold`` times their target or more, and that ratio; forms in ``floors`` left out."""
     out = cells.where(F.col("cible") > 0).withColumn("ratio", F.round(F.col("recu") / F.col("cible"), 2)).where(F.col("recu") >= threshold * F.col("cible"))
-    return out.join(F.broadcast(floors.select("form")), "form", "left_anti") if floors is not None else out
+    return out.join(floors.select("form"), "form", "left_anti") if floors is not None else out
 
 
 def scoped(cells: DataFrame, **codes: str | None) -> DataFrame:
@@ -196,7 +196,7 @@ def active_forms(forms: DataFrame) -> DataFrame:
 
 def guessed(assets: DataFrame, forms: DataFrame) -> DataFrame:
     """(uid, form): the first active form whose hint occurs in the asset's name, whatever the case; null if none."""
-    hits = assets.select("uid", F.lower("name").alias("low")).join(F.broadcast(forms.where("active").select("form", F.lower("hint").alias("h"), "position")), F.expr("contains(low, h)"))
+    hits = assets.select("uid", F.lower("name").alias("low")).join(forms.where("active").select("form", F.lower("hint").alias("h"), "position"), F.expr("contains(low, h)"))
     return assets.select("uid").join(hits.groupBy("uid").agg(F.min_by("form", "position").alias("form")), "uid", "left")
 
 
@@ -207,7 +207,7 @@ def mapping_errors(mapping: DataFrame) -> DataFrame:
 
 def mapping_warnings(mapping: DataFrame, assets: DataFrame, forms: DataFrame) -> DataFrame:
     """(form, uid, name): sources whose name lacks the form's hint."""
-    out = mapping.join(assets.select("uid", "name"), "uid").join(F.broadcast(forms.select("form", "hint")), "form")
+    out = mapping.join(assets.select("uid", "name"), "uid").join(forms.select("form", "hint"), "form")
     return out.where("hint != '' and name != '' and not contains(lower(name), lower(hint))").select("form", "uid", "name")
 
 

@@ -52,7 +52,7 @@ def kruskal(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     """As ``anova``, by average ranks, corrected for ties."""
     x = number(col(value))
     big = df.where(col(group).isNotNull() & x.isNotNull()).groupBy(col(group).alias("__g")).count().where(F.col("count") >= least).select("__g")
-    rows = ranked(df.join(F.broadcast(big), col(group) == F.col("__g")), value)
+    rows = ranked(df.join(big, col(group) == F.col("__g")), value)
     found = rows.groupBy("__g").agg(F.count("*").alias("n"), F.sum("rank").alias("s")).collect()
     ties = rows.groupBy("rank").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t"))).first()[0] or 0.0
     h, p = stats.kruskal([(r["n"], r["s"]) for r in found], ties) if len(found) > 1 else (None, None)

@@ -29,7 +29,7 @@ def forms(spark) -> DataFrame:
 def units(spark, d) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("c_mktsegment"))
-    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("unit"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("district"), F.col("n_regionkey").alias("region"), (F.col("c_custkey") % 20).alias("agent"), kind.alias("kind"), (F.col("c_custkey") % 3).cast("int").alias("cases"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("unit"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("district"), F.col("n_regionkey").alias("region"), (F.col("c_custkey") % 20).alias("agent"), kind.alias("kind"), (F.col("c_custkey") % 3).cast("int").alias("cases"))
 
 
 def districts(spark, d) -> DataFrame:
@@ -124,13 +124,13 @@ def district_table(spark, d) -> DataFrame:
 
 @query(BASE + _rolled("(SELECT ad.*, n_regionkey AS region FROM ad JOIN nation ON n_nationkey = district)", "region", floor="form = 'D2'"))
 def region_table(spark, d) -> DataFrame:
-    cells = all_districts(spark, d).join(F.broadcast(districts(spark, d).select("district", "region")), "district")
+    cells = all_districts(spark, d).join(districts(spark, d).select("district", "region"), "district")
     return cp.rolled(cells, "region", floors=floors(spark))
 
 
 @query(BASE + "SELECT n_regionkey AS region, ad.district, form, CAST(sum(recu) AS BIGINT) AS recu FROM ad JOIN nation ON n_nationkey = ad.district GROUP BY form, ROLLUP (n_regionkey, ad.district)")
 def geo_rollup(spark, d) -> DataFrame:
-    cells = all_districts(spark, d).join(F.broadcast(districts(spark, d).select("district", "region")), "district")
+    cells = all_districts(spark, d).join(districts(spark, d).select("district", "region"), "district")
     out = cells.rollup("form", "region", "district").agg(F.sum("recu").alias("recu"), F.grouping_id().alias("g"))
     return out.where("g < 7").select("region", "district", "form", "recu")
 
@@ -277,7 +277,7 @@ def label_upsert(spark, d) -> DataFrame:
 
 @query(BASE + "SELECT n_name AS nom, coalesce(taux, 0) AS taux FROM ad JOIN nation ON n_nationkey = district WHERE form = 'P'")
 def district_series(spark, d) -> DataFrame:
-    return all_districts(spark, d).where("form = 'P'").join(F.broadcast(districts(spark, d).select("district", F.col("name").alias("nom"))), "district").select("nom", F.coalesce("taux", F.lit(0.0)).alias("taux")).orderBy("nom")
+    return all_districts(spark, d).where("form = 'P'").join(districts(spark, d).select("district", F.col("name").alias("nom")), "district").select("nom", F.coalesce("taux", F.lit(0.0)).alias("taux")).orderBy("nom")
 
 
 @query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS BIGINT) END, s_suppkey, 0) AS target FROM supplier")
@@ -392,7 +392,7 @@ def velocity(spark, d) -> DataFrame:
 
 @query("WITH g AS (SELECT n_name AS place, count(*) AS received FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1), t AS (SELECT CAST(greatest(1, 2000 // count(*)) AS BIGINT) AS target FROM g) SELECT place, received, target, round(100.0*received/target,1) AS rate, CASE WHEN round(100.0*received/target,1)>=100 THEN 'Atteint' WHEN round(100.0*received/target,1)>=50 THEN 'En cours' ELSE 'À risque' END AS state FROM g, t")
 def geo_breakdown(spark, d) -> DataFrame:
-    df = table(spark, d, "customer").join(F.broadcast(districts(spark, d)), F.col("c_nationkey") == F.col("district")).select(F.col("name").alias("ENTETE/District__X"))
+    df = table(spark, d, "customer").join(districts(spark, d), F.col("c_nationkey") == F.col("district")).select(F.col("name").alias("ENTETE/District__X"))
     return monitoring.place_breakdown(df, monitoring.place_column(df.columns), 2000)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from quaestor.operators import questionnaire
 from quaestor.plans.registry import query, table
+from quaestor.sources import sinks
 from quaestor.streaming import collect
 
 
@@ -35,6 +36,15 @@ def stream_counts(spark, d) -> DataFrame:
     return spark.table(name)
 
 
+@query("SELECT event_id, event_type FROM events")
+def stream_events(spark, d) -> DataFrame:
+    """Appended JSON lines, read as a stream and staged."""
+    base, rows = _folder(spark), table(spark, d, "events").select("event_id", "event_type")
+    sinks.appended(rows, f"{base}/hook")
+    collect.pending(collect.arrivals(spark, f"{base}/hook", rows.schema, "json"), f"{base}/staging", f"{base}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/staging")
+
+
 @query()
 def xlsform(spark, d) -> DataFrame:
     """The survey sheet of a form made of coded items."""
