@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import slices
+from quaestor.llm.common import Held, slices
 
 END = "</w>"
 NEVER = np.iinfo(np.int64).max
@@ -330,7 +330,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec(held) -> Codec:
     """This process's codec for a broadcast of ``load``'s tables."""
-    key = str(held.id if hasattr(held, "id") else id(held))
+    key = held.key
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(held.value)
@@ -343,7 +343,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
     ``ids``: little-endian unsigned 32-bit integers; ``decoded``: the text that decoding them gives. A null text counts as
     empty and gives no ids and an empty text; rows that repeat an id each have a row. No rows give no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(load(path))
+    held = Held(docs.sparkSession, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held)
@@ -357,7 +357,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``coded``, without sending ids and texts back to the JVM."""
-    held = docs.sparkSession.sparkContext.broadcast(load(path))
+    held = Held(docs.sparkSession, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held)

@@ -47,6 +47,17 @@ class Stash:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Held:
+    """A broadcast value with a key of its own, by which worker processes remember what they make of it."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.key, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import as_before, slices, with_rest
+from quaestor.llm.common import Held, as_before, slices, with_rest
 from quaestor.llm.kernel import utf8
 
 #: Training rows for each language (by hash of the id), longest training text in characters, languages, and the order.
@@ -129,7 +129,7 @@ _models: dict[object, Model] = {}
 
 
 def _model(held) -> Model:
-    key = getattr(held, "id", id(held))
+    key = held.key
     if key not in _models:
         _models.clear()
         _models[key] = Model(*held.value)
@@ -176,7 +176,7 @@ def accepted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
 def _predictor(docs: DataFrame, training: DataFrame, rows: int, order: int, keep: list[str]):
     spark = docs.sparkSession
     found = sample(training, rows)
-    held = spark.sparkContext.broadcast((found, order))
+    held = Held(spark, (found, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held) if found else None

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import Stash, slices
+from quaestor.llm.common import Held, Stash, slices
 from quaestor.llm.components import components
 from quaestor.llm.kernel import U, mix, shingles, word_hashes
 
@@ -135,7 +135,7 @@ def _between(sets: DataFrame, percent: int) -> DataFrame:
     seen = np.zeros(SKETCH, dtype=np.uint16)
     for chunk, part in sets.mapInArrow(_tallied, "chunk int, seen binary").groupBy("chunk").applyInArrow(_summed, "chunk int, seen binary").collect():  # 64 rows
         seen[chunk * (SKETCH // 64) : (chunk + 1) * (SKETCH // 64)] = np.frombuffer(part, dtype=np.uint16)
-    rows = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(seen), percent), "gram long, place long, id long, n long, c long")
+    rows = sets.mapInArrow(_prefixes(Held(sets.sparkSession, seen), percent), "gram long, place long, id long, n long, c long")
     main = rows.groupBy("gram", "c").count().groupBy("gram").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("gram", "main")
     rows = rows.join(main.hint("merge"), "gram")
     other = rows.select("gram", F.col("place").alias("place2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm import bpe
-from quaestor.llm.common import Stash, slices
+from quaestor.llm.common import Held, Stash, slices
 
 WINDOW = 4096
 #: Windows in a frame of the round-robin.
@@ -160,7 +160,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
     queue = F.lit(len(top))
     for k, name in enumerate(top):
         queue = F.when(F.col("source").eqNullSafe(F.lit(name)), k).otherwise(queue)
-    held = spark.sparkContext.broadcast(bpe.load(path))
+    held = Held(spark, bpe.load(path))
     coded = stash.put(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(_tokens(held, end_id), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
     sums = coded.groupBy("shard", "queue").agg(F.sum("doc_tokens").alias("n"))
     offsets = stash.put(sums.select("shard", "queue", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("shard")) - F.col("n")).alias("before")))

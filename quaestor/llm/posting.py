@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import Stash
+from quaestor.llm.common import Held, Stash
 from quaestor.llm.projections import matrix, usable
 
 #: Vectors that the centroids are fitted on, at most; wanted length of a list; lists at most, which bounds the broadcast graph.
@@ -19,7 +19,7 @@ SAMPLE, LIST, LISTS = 20_000, 256, 8_192
 #: A vector joins the lists of up to REPLICAS centroids within CLOSURE times its nearest one's distance.
 REPLICAS, CLOSURE = 4, 1.08
 #: A query visits the lists whose centroid is within RATIO times the nearest one's distance, and as many as hold LEAST rows.
-RATIO, LEAST = 1.25, 256
+RATIO, LEAST, SLACK = 1.25, 256, 1.1
 #: Rows that one task compares with its queries, about.
 GROUP = 16_384
 DEGREE = 24
@@ -59,14 +59,15 @@ class Graph:
         self.links = [np.array(sorted(x - {a}), dtype=np.int64) for a, x in enumerate(links)]
         self.entries = rng.choice(k, min(8, k), replace=False)
 
-    def near(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances), nearest first, of those within ``ratio`` times the nearest distance that the search reaches."""
+    def near(self, x: np.ndarray, ratio: float, slack: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances), nearest first, of those within ``ratio`` times the nearest distance that the search reaches; it
+        goes on from centroids within ``slack`` times that."""
         dist = np.full(len(self.centres), np.inf)
         dist[self.entries] = np.sqrt(((self.centres[self.entries] - x) ** 2).sum(1))
         best, opened = dist.min(), np.zeros(len(dist), dtype=bool)
         while True:
             # All seen centroids within the ratio are opened at once, or else the nearest ones, until none is left.
-            go = np.flatnonzero((dist <= best * ratio) & ~opened)
+            go = np.flatnonzero((dist <= best * ratio * slack) & ~opened)
             if not len(go):
                 break
             go = go[np.argsort(dist[go])][:64]
@@ -85,7 +86,7 @@ _graphs: dict[object, Graph] = {}
 
 
 def _graph(held) -> Graph:
-    key = getattr(held, "id", id(held))
+    key = held.key
     if key not in _graphs:
         _graphs.clear()
         _graphs[key] = Graph(held.value)
@@ -117,10 +118,10 @@ def _visits(held, sizes: np.ndarray, groups: list[list[int]], ratio: float, leas
                 batch = whole.slice(at, 256)
                 rows, group, lists = [], [], []
                 for k, x in enumerate(matrix(batch.column("e"))):
-                    own, wide = graph.near(x, ratio)[0], ratio
+                    own, wide = graph.near(x, ratio, SLACK)[0], ratio
                     while sizes[own].sum() < min(least, sizes.sum()):
                         wide *= 1.5
-                        own = graph.near(x, wide)[0]
+                        own = graph.near(x, wide, SLACK)[0]
                     by_group: dict[int, list[int]] = {}
                     for c in own.tolist():
                         for g in groups[c]:
@@ -134,37 +135,44 @@ def _visits(held, sizes: np.ndarray, groups: list[list[int]], ratio: float, leas
     return run
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of q, ids, distances): each query's k nearest distinct other ids, ties to the smaller id."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for a, (one, own) in enumerate(zip(q, q_ids, strict=True)):
-        # The squared length of the difference, component by component: exact on the original vectors.
-        d = np.sqrt(((x - one) ** 2).sum(1))
-        d[ids == own] = np.inf
-        few = np.flatnonzero(d <= np.partition(d, min(4 * k, len(d) - 1))[min(4 * k, len(d) - 1)])
-        few = few[np.isfinite(d[few])]
-        few = few[np.lexsort((ids[few], d[few]))]
-        _, first = np.unique(ids[few], return_index=True)
-        few = few[np.sort(first)][:k]
-        out.append((np.full(len(few), a), ids[few], d[few]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+def nearest(q: np.ndarray, q_ids: np.ndarray, wanted: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query ids, ids, distances): each query's k nearest distinct other ids in its lists (``wanted``: query by list), ties to the
+    smaller id. One matrix product finds who can be among them; these are measured on the original vectors."""
+    out = []
+    lengths = (x**2).sum(1)
+    for a in range(0, len(q), 64):
+        part = q[a : a + 64]
+        near = lengths - 2 * part @ x.T + (part**2).sum(1)[:, None]
+        margin = 1e-9 * (lengths.max() + (part**2).sum(1))
+        near[~wanted[a : a + 64][:, lists] | (q_ids[a : a + 64, None] == ids)] = np.inf
+        # A row may be in several lists, REPLICAS at most.
+        last = min(REPLICAS * k, len(x)) - 1
+        bound = np.partition(near, last, axis=1)[:, last] + margin
+        for r in range(len(part)):
+            few = np.flatnonzero(np.isfinite(near[r]) & (near[r] <= bound[r]))
+            d = np.sqrt(((x[few] - part[r]) ** 2).sum(1))
+            order = np.lexsort((ids[few], d))
+            few, d = few[order], d[order]
+            first = np.sort(np.unique(ids[few], return_index=True)[1])[:k]
+            out.append((np.full(len(first), q_ids[a + r]), ids[few][first], d[first]))
+    return out
 
 
 def _searched(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        q, ids, d = [none], [none], [np.zeros(0)]
+        found = [(none, none, np.zeros(0))]
         if queries.num_rows and rows.num_rows:
-            x, own, lists = matrix(rows["e"].combine_chunks()), np.asarray(rows["id"]), np.asarray(rows["list"])
-            at, e, wanted = np.asarray(queries["id"]), matrix(queries["e"].combine_chunks()), queries["lists"].to_pylist()
-            for a in range(len(at)):
-                mine = np.flatnonzero(np.isin(lists, wanted[a]))
-                if len(mine):
-                    _, i, s = nearest(e[a : a + 1], at[a : a + 1], x[mine], own[mine], k)
-                    q.append(np.full(len(i), at[a]))
-                    ids.append(i)
-                    d.append(s)
-        return pa.table({"query_id": np.concatenate(q), "vec_id": np.concatenate(ids), "score": np.concatenate(d)})
+            here, lists = np.unique(np.asarray(rows["list"]), return_inverse=True)
+            asked = queries["lists"].combine_chunks()
+            wanted = np.zeros((len(asked), len(here)), dtype=bool)
+            for r, own in enumerate(asked):
+                at = np.searchsorted(here, own := np.asarray(own.values))
+                at, own = at[at < len(here)], own[at < len(here)]
+                wanted[r, at[here[at] == own]] = True
+            found += nearest(matrix(queries["e"].combine_chunks()), np.asarray(queries["id"]), wanted, matrix(rows["e"].combine_chunks()), np.asarray(rows["id"]), lists, k)
+        q, ids, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": q, "vec_id": ids, "score": d})
 
     return run
 
@@ -189,7 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     rate = min(1.0, SAMPLE / count)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).limit(2 * SAMPLE).select("e").toArrow()
     x = matrix(sample["e"].combine_chunks()) if sample.num_rows else matrix(rows.limit(1).toArrow()["e"].combine_chunks())
-    held = spark.sparkContext.broadcast(fit(x, max(1, min(LISTS, count // length))))
+    held = Held(spark, fit(x, max(1, min(LISTS, count // length))))
     posted = stash.put(rows.mapInArrow(_assigned(held, closure, replicas), "list int, id long, e array<double>"))
     sizes = np.zeros(len(held.value), dtype=np.int64)
     for c, n in posted.groupBy("list").count().collect():  # a row for each list, LISTS at most
