@@ -185,7 +185,7 @@ def context(df: DataFrame, profiled: DataFrame, columns: int = 50, top: int = 5)
     spark = df.sparkSession
     out = spark.createDataFrame([], "variable string, kind string, figures string")
     if numbers:
-        shown = lambda v: F.format_string("%.2f;%.2f;%.2f;%.2f;%.2f", F.avg(number(col(v))), F.expr(f"percentile(try_cast(`{v}` as double), 0.5)"), F.stddev_samp(number(col(v))), F.min(number(col(v))), F.max(number(col(v))))
+        shown = lambda v: F.format_string("%.2f;%.2f;%.2f;%.2f;%.2f", *[F.round(x, 2) for x in (F.avg(number(col(v))), F.percentile(number(col(v)), F.lit(0.5)), F.stddev_samp(number(col(v))), F.min(number(col(v))), F.max(number(col(v))))])
         out = out.unionByName(df.agg(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit("continue").alias("kind"), shown(v).alias("figures")) for v in numbers]).alias("x")).select(F.inline("x")))
     if cats:
         ranked = value_counts(df, cats).withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy(F.desc("n"), "value"))).where(F.col("k") <= top)

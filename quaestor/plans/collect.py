@@ -519,7 +519,7 @@ def radical_from_label(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", questionnaire.radical_from_label(F.concat(F.lit("Quelle est la distance (en km) de l'"), "p_type", F.lit(" ?"))).alias("radical"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS label FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT CAST(p_partkey % 100 AS VARCHAR), p_name FROM part WHERE p_partkey % 100 >= 50")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS label FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT CAST(p_partkey % 100 AS VARCHAR), p_name FROM part WHERE p_partkey % 100 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 50)")
 def learn_anti(spark, d) -> DataFrame:
     old = table(spark, d, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("label"))
     return questionnaire.learned(old, table(spark, d, "part").select((F.col("p_partkey") % 100).cast("string").alias("code"), F.col("p_name").alias("label")))

@@ -207,7 +207,7 @@ def anomaly_rules(spark, d) -> DataFrame:
     return profiling.anomalies(df, profiling.profile(df)).where("variable = 'value'")
 
 
-@query("""SELECT 'value' AS variable, 'continue' AS kind, format('{:.2f};{:.2f};{:.2f};{:.2f};{:.2f}', avg(value), quantile_cont(value,0.5), stddev_samp(value), min(value), max(value)) AS figures FROM events
+@query("""SELECT 'value' AS variable, 'continue' AS kind, format('{:.2f};{:.2f};{:.2f};{:.2f};{:.2f}', round(avg(value),2), round(quantile_cont(value,0.5),2), round(stddev_samp(value),2), round(min(value),2), round(max(value),2)) AS figures FROM events
 UNION ALL SELECT 'event_type', 'categorielle', string_agg(x || '=' || n, ';' ORDER BY n DESC, x) FROM (SELECT event_type AS x, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, x LIMIT 5)""")
 def context_summary(spark, d) -> DataFrame:
     df = table(spark, d, "events").select("value", "event_type")

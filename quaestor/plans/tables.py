@@ -189,9 +189,9 @@ def uni_multi(spark, d) -> DataFrame:
     return dictionary.multiple(table(spark, d, "part"), "p_name")
 
 
-@query("SELECT count(*) AS n, round(avg(o_totalprice), 4) AS centre FROM orders")
+@query("SELECT count(*) AS n, round(avg(l_extendedprice), 4) AS centre FROM lineitem")
 def uni_num(spark, d) -> DataFrame:
-    return dictionary.numbers(table(spark, d, "orders"), "o_totalprice").select("n", F.round("centre", 4).alias("centre"))
+    return dictionary.numbers(table(spark, d, "lineitem"), "l_extendedprice").select("n", F.round("centre", 4).alias("centre"))
 
 
 @query("SELECT p_partkey, CASE WHEN list_contains(string_split(p_name,' '),'red') OR list_contains(string_split(p_name,' '),'small') THEN 1 ELSE 0 END AS good, CASE WHEN p_type='ECONOMY' THEN 0 ELSE 1 END AS other FROM part")
