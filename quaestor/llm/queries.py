@@ -105,5 +105,33 @@ SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+#: The lengths follow the grammar: 3 for the beginning, 15 round a user's text, 5 round an assistant's, 16 and the role round others;
+#: an escaped turn has a mark and a second character for each of five.
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+h AS (SELECT *, regexp_matches(text, '</?s>|\[/?INST\]|\[ROLE |\[/ROLE\]') AS hard FROM t),
+n AS (SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 16 + length(role) END + length(text) + CASE WHEN hard THEN 1 + length(regexp_replace(text, '[^~\[\]<>]', '', 'g')) ELSE 0 END AS chars FROM h)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id
+"""
+
+SHINGLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM s UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.reach)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM s JOIN (SELECT id, min(reach) AS c FROM r GROUP BY 1) c ON c.id = s.doc_id
+"""
+
+COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM v UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.reach)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN (SELECT id, min(reach) AS c FROM r GROUP BY 1) c ON c.id = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": URL_SQL}
+    return {"op4_chat_round_trip": CHAT_SQL, "op6_url_rules": URL_SQL, "op8_minmax_dedup": SHINGLE_SQL, "op10_sorted_projections": COSINE_SQL}
