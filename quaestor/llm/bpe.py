@@ -325,16 +325,9 @@ class _Both(dict):
         return self.kept[word]
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(held) -> Codec:
+def codec(held: Held) -> Codec:
     """This process's codec for a broadcast of ``load``'s tables."""
-    key = held.key
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(held.value)
-    return _codecs[key]
+    return held.made(Codec)
 
 
 def coded(docs: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +47,9 @@ class Stash:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_made: dict[str, object] = {}
+
+
 class Held:
     """A broadcast value with a key of its own, by which worker processes remember what they make of it."""
 
@@ -57,6 +60,13 @@ class Held:
     def value(self):
         return self.broadcast.value
 
+    def made(self, make: Callable[[object], object]):
+        """What ``make`` makes of the value, made once a process; of all operators' models a process keeps the last alone."""
+        if self.key not in _made:
+            _made.clear()
+            _made[self.key] = make(self.value)
+        return _made[self.key]
+
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""

@@ -125,17 +125,6 @@ class Model:
         return out
 
 
-_models: dict[object, Model] = {}
-
-
-def _model(held) -> Model:
-    key = held.key
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(*held.value)
-    return _models[key]
-
-
 def sample(labelled: DataFrame, rows: int = ROWS) -> dict[str, list[bytes]]:
     """Texts of about ``rows`` rows for each language of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
     fine = labelled.where("lang is not null and text is not null and text != ''").where(F.char_length("text") <= LONGEST)
@@ -179,7 +168,7 @@ def _predictor(docs: DataFrame, training: DataFrame, rows: int, order: int, keep
     held = Held(spark, (found, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held) if found else None
+        model = held.made(lambda value: Model(*value)) if found else None
         for whole in batches:
             for batch in slices(whole, "text"):
                 fine = np.asarray(batch.column("letters").fill_null(False)) & (model is not None)

@@ -82,20 +82,9 @@ class Graph:
         return found, dist[found]
 
 
-_graphs: dict[object, Graph] = {}
-
-
-def _graph(held) -> Graph:
-    key = held.key
-    if key not in _graphs:
-        _graphs.clear()
-        _graphs[key] = Graph(held.value)
-    return _graphs[key]
-
-
 def _assigned(held, closure: float, replicas: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = _graph(held)
+        graph = held.made(Graph)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -112,7 +101,7 @@ def _assigned(held, closure: float, replicas: int):
 
 def _visits(held, sizes: np.ndarray, groups: list[list[int]], ratio: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = _graph(held)
+        graph = held.made(Graph)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
