@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import Stash, as_before, slices, with_rest
+from quaestor.llm.common import Held, Stash, as_before, slices, with_rest
 from quaestor.llm.kernel import U, utf8, word_hashes
 
 #: Buckets of the hashed n-grams; lengths of the byte n-grams; labelled rows that the target model is fitted on, at most.
 BUCKETS, LENGTHS, LABELLED = 1 << 16, (2, 3, 4), 20_000
 CHUNK = 1024
-#: The share of good labelled rows whose weight may be under the cut, and the allowance below it for the draw's noise.
-LOST, ALLOWANCE = 0.005, 8.0
+#: How many kept bad documents weigh as much as one lost good one (both as shares), and the allowance below the cut for the draw's noise.
+DEAR, ALLOWANCE = 20.0, 3.0
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +110,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     The raw model counts the n-grams of all rows; the target model those of rows that ``labels`` (doc_id, quality) call good
     (1), of LABELLED labelled rows chosen by hash. ``log_weight``: log of the text's probability under the target model over
     that under the raw model. ``key``: log_weight plus Gumbel noise from a hash of the id; the ``k`` rows with the largest keys
-    are kept, ties with the last as well. ``k`` defaults to the number of rows whose weight is not under the cut that all but
-    LOST of the good labelled rows pass, less ALLOWANCE. A null or empty text has weight 0. Without good labels, and for k
+    are kept, ties with the last as well. ``k`` defaults to the number of rows whose weight is at least ``border``'s between
+    good and bad labelled rows, less ALLOWANCE. A null or empty text has weight 0. Without good labels, and for k
     above the number of rows, all are kept. Labels that contradict each other count as not good. Rows that repeat an id each
     have a row; no rows give no rows.
     """
@@ -124,10 +124,20 @@ def accepted(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     _, least, ratio = _keyed(docs, labels, k, seed)
     held = with_rest(docs)
     schema = T.StructType([held.schema["doc_id"], held.schema["text"], held.schema["rest"]]).add("n_grams", "long").add("log_weight", "double")
-    out = held.mapInArrow(_weighed(docs.sparkSession.sparkContext.broadcast(ratio), ("doc_id", "text", "rest")), schema)
+    out = held.mapInArrow(_weighed(Held(docs.sparkSession, ratio), ("doc_id", "text", "rest")), schema)
     return as_before(out.where(_key(seed) >= F.lit(least)), docs)
 
 
+def border(good: np.ndarray, bad: np.ndarray) -> float:
+    """The weight from which documents count as good: the one that costs least, of equal ones the smallest."""
+    at = np.unique(good)
+    if not len(at):
+        return -np.inf
+    lost = np.searchsorted(np.sort(good), at, side="left") / len(good)
+    kept = 1 - np.searchsorted(np.sort(bad), at, side="left") / max(len(bad), 1) if len(bad) else np.zeros(len(at))
+    return float(at[np.argmin(DEAR * lost + kept)])
+
+
 def _key(seed: int) -> Column:
     """The log weight plus Gumbel noise from a hash of the id."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
@@ -146,9 +156,9 @@ def _keyed(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tupl
     for c, r, t in rows.mapInArrow(_counted, "chunk int, raw binary, target binary").groupBy("chunk").applyInArrow(_summed, "chunk int, raw binary, target binary").collect():  # BUCKETS / CHUNK rows
         raw[c : c + CHUNK], target[c : c + CHUNK] = np.frombuffer(r, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.any() else np.zeros(BUCKETS)
-    weighed = stash.put(rows.mapInArrow(_weighed(spark.sparkContext.broadcast(ratio)), "doc_id long, quality int, n_grams long, log_weight double"))
+    weighed = stash.put(rows.mapInArrow(_weighed(Held(spark, ratio)), "doc_id long, quality int, n_grams long, log_weight double"))
     keyed = weighed.withColumn("key", _key(seed))
     if k is None:
-        least = weighed.where("quality = 1").agg(F.percentile_approx("log_weight", F.lit(LOST), F.lit(100_000))).first()[0]
-        k = weighed.where(F.col("log_weight") >= least - ALLOWANCE).count() if least is not None and target.any() else 1 << 62
+        known = np.array([tuple(r) for r in weighed.where("quality is not null").select("quality", "log_weight").collect()], dtype=float).reshape(-1, 2)  # 2 * LABELLED rows at most
+        k = weighed.where(F.col("log_weight") >= border(known[known[:, 0] == 1, 1], known[known[:, 0] != 1, 1]) - ALLOWANCE).count() if target.any() else 1 << 62
     return keyed.select("doc_id", "n_grams", "log_weight", "key"), cut(keyed, k), ratio
