@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import Held, Stash
 from quaestor.llm.projections import matrix, usable
 
-#: Vectors that the centroids are fitted on, at most; wanted length of a list; lists at most, which bounds the broadcast graph.
+#: Vectors that the centroids are fitted on, about, where lists are few; wanted length of a list; lists at most, which bounds the broadcast graph.
 SAMPLE, LIST, LISTS = 20_000, 256, 8_192
+#: Vectors that the fit has for each list, and components that it may hold at once (SAMPLE rows it has anyhow).
+FITTED, CELLS = 32, 1 << 25
 #: A vector joins the lists of up to REPLICAS centroids within CLOSURE times its nearest one's distance.
 REPLICAS, CLOSURE = 4, 1.08
 #: A query visits the lists whose centroid is within RATIO times the nearest one's distance, and as many as hold LEAST rows.
@@ -26,17 +28,21 @@ DEGREE = 24
 
 
 def fit(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """k centroids of the rows of x by Lloyd's rounds; empty ones start again at random rows."""
+    """k centroids of the rows of x by Lloyd's rounds; empty ones start again at random rows, and go in the last round."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        near = np.concatenate([np.argmin((centres**2).sum(1) - 2 * x[a : a + 2048] @ centres.T, axis=1) for a in range(0, len(x), 2048)])
+    step = max(64, min(2048, (1 << 22) // len(centres)))
+    for last in range(rounds - 1, -1, -1):
+        lengths = (centres**2).sum(1)
+        near = np.concatenate([np.argmin(lengths - 2 * x[a : a + step] @ centres.T, axis=1) for a in range(0, len(x), step)])
         count = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         full = count > 0
         centres[full] = sums[full] / count[full, None]
-        if (~full).any():
+        if not last:
+            centres = centres[full]
+        elif (~full).any():
             centres[~full] = x[rng.choice(len(x), int((~full).sum()))]
     return np.unique(centres, axis=0)
 
@@ -81,6 +87,15 @@ class Graph:
         found = found[np.lexsort((found, dist[found]))]
         return found, dist[found]
 
+    def filled(self, x: np.ndarray, own: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """``own`` and the next nearest centroids, all of them in the end, until their lists hold ``least`` rows."""
+        held = sizes[own].sum()
+        if held >= least:
+            return own
+        rest = np.setdiff1d(np.flatnonzero(sizes), own)
+        rest = rest[np.argsort(((self.centres[rest] - x) ** 2).sum(1), kind="stable")]
+        return np.concatenate([own, rest[: int(np.searchsorted(held + np.cumsum(sizes[rest]), least)) + 1]])
+
 
 def _assigned(held, closure: float, replicas: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +122,7 @@ def _visits(held, sizes: np.ndarray, groups: list[list[int]], ratio: float, leas
                 batch = whole.slice(at, 256)
                 rows, group, lists = [], [], []
                 for k, x in enumerate(matrix(batch.column("e"))):
-                    own, wide = graph.near(x, ratio, SLACK)[0], ratio
-                    while sizes[own].sum() < min(least, sizes.sum()):
-                        wide *= 1.5
-                        own = graph.near(x, wide, SLACK)[0]
+                    own = graph.filled(x, graph.near(x, ratio, SLACK)[0], sizes, least)
                     by_group: dict[int, list[int]] = {}
                     for c in own.tolist():
                         for g in groups[c]:
@@ -170,8 +182,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     """(query_id, rank, vec_id, score): the ``k`` nearest of ``vectors`` found for each of ``queries`` (both vec_id, embedding).
 
     Score: Euclidean distance in double precision on the original vectors; nearest first, ties to the smaller id; a query's own
-    id is no candidate. Centroids are fitted on a bounded sample (SAMPLE rows by hash of the id), one for each ``length`` rows
-    and LISTS at most; all rows are indexed. A list longer than a task's share is split over tasks, so none grows without
+    id is no candidate. Centroids are fitted on a sample by hash of the id (SAMPLE rows, or FITTED for each list as far as CELLS
+    go), one for each ``length`` rows and LISTS at most; all rows are indexed. A list longer than a task's share is split over tasks, so none grows without
     bound. Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part; nor do
     vectors of another length than the most. Repeated rows count once. No vectors or no queries give no rows.
     """
@@ -183,10 +195,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     if size is None:
         return empty
     rows, count = rows.where(F.size("e") == size["n"]), size["count"]
-    rate = min(1.0, SAMPLE / count)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).limit(2 * SAMPLE).select("e").toArrow()
+    wanted = max(1, min(LISTS, count // length))
+    fitted = max(SAMPLE, min(FITTED * wanted, CELLS // size["n"]))
+    rate = min(1.0, fitted / count)
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).limit(2 * fitted).select("e").toArrow()
     x = matrix(sample["e"].combine_chunks()) if sample.num_rows else matrix(rows.limit(1).toArrow()["e"].combine_chunks())
-    held = Held(spark, fit(x, max(1, min(LISTS, count // length))))
+    held = Held(spark, fit(x, wanted))
     posted = stash.put(rows.mapInArrow(_assigned(held, closure, replicas), "list int, id long, e array<double>"))
     sizes = np.zeros(len(held.value), dtype=np.int64)
     for c, n in posted.groupBy("list").count().collect():  # a row for each list, LISTS at most

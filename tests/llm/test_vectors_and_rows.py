@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,24 @@ def test_graph_reaches_what_is_near():
     assert found >= 0.97 * near
 
 
+def test_query_on_a_centroid_gets_enough_rows():
+    centres = np.random.default_rng(3).normal(size=(40, 8))
+    graph, sizes = posting.Graph(centres), np.full(40, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([centres[7].tolist()])], ["id", "e"])
+    for least, lists in ((3, 1), (10, 4), (120, 40), (500, 40)):
+        held = type("Held", (), {"made": lambda self, make: graph})()
+        got = [*posting._visits(held, sizes, [[0]] * 40, 1.25, least)(iter([batch]))][0].column("lists").to_pylist()
+        assert len(got) == 1 and got[0] == np.argsort(((centres - centres[7]) ** 2).sum(1))[:lists].tolist()
+
+
+def test_no_centroid_is_left_empty():
+    x = np.random.default_rng(5).normal(size=(400, 8)).round(1)
+    x[200:] = x[0]
+    centres = posting.fit(x, 150)
+    near = ((centres[:, None] - x) ** 2).sum(2).argmin(0)
+    assert len({*near.tolist()}) == len(centres)
+
+
 def test_vector_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 24))
