@@ -140,15 +140,18 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, wanted: np.ndarray, x: np.ndarray,
     """(query ids, ids, distances): each query's k nearest distinct other ids in its lists (``wanted``: query by list), ties to the
     smaller id. One matrix product finds who can be among them; these are measured on the original vectors."""
     out = []
+    # Entries of one id, which may be in several lists, lie together: the bound is over ids.
+    order = np.argsort(ids, kind="stable")
+    x, ids, lists = x[order], ids[order], lists[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    last = min(k, len(starts)) - 1
     lengths = (x**2).sum(1)
     for a in range(0, len(q), 64):
         part = q[a : a + 64]
         near = lengths - 2 * part @ x.T + (part**2).sum(1)[:, None]
         margin = 1e-9 * (lengths.max() + (part**2).sum(1))
         near[~wanted[a : a + 64][:, lists] | (q_ids[a : a + 64, None] == ids)] = np.inf
-        # A row may be in several lists, REPLICAS at most.
-        last = min(REPLICAS * k, len(x)) - 1
-        bound = np.partition(near, last, axis=1)[:, last] + margin
+        bound = np.partition(np.minimum.reduceat(near, starts, axis=1), last, axis=1)[:, last] + margin
         for r in range(len(part)):
             few = np.flatnonzero(np.isfinite(near[r]) & (near[r] <= bound[r]))
             d = np.sqrt(((x[few] - part[r]) ** 2).sum(1))
@@ -189,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     """
     spark: SparkSession = vectors.sparkSession
     stash = Stash(spark)
-    rows = stash.put(usable(vectors))
+    rows = stash.put(usable(vectors).distinct())
     size = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if size is None:
@@ -216,7 +219,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
         groups.append(own.tolist())
     lists = spark.createDataFrame([(c, g) for c, g in enumerate(groups)], "list int, groups array<int>")
     dealt = posted.join(F.broadcast(lists), "list").select(F.element_at("groups", (F.pmod(F.xxhash64("id"), F.size("groups")) + 1).cast("int")).alias("group"), "list", "id", "e")
-    asked = usable(queries).where(F.size("e") == size["n"]).dropDuplicates(["id"]).mapInArrow(_visits(held, sizes, [sorted({*g}) for g in groups], ratio, LEAST), "group int, id long, e array<double>, lists array<int>")
+    asked = usable(queries).where(F.size("e") == size["n"]).dropDuplicates(["id"]).mapInArrow(_visits(held, sizes, [sorted({*g}) for g in groups], ratio, max(LEAST, replicas * (k + 1))), "group int, id long, e array<double>, lists array<int>")
     found = asked.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -118,6 +118,22 @@ def test_graph_reaches_what_is_near():
     assert found >= 0.97 * near
 
 
+def test_repeated_rows_take_no_places(spark):
+    x = np.random.default_rng(11).normal(size=(60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [r for r in rows[1:6] for _ in range(60)] + [(7, (x[7] + 9).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [r["vec_id"] for r in posting.search(df, df.where("vec_id = 0"), k=12).orderBy("rank").collect()]
+    assert got == [k for k in np.argsort(((x - x[0]) ** 2).sum(1)).tolist() if k][:12]
+
+
+def test_bound_is_over_ids():
+    x = np.arange(1.0, 31.0)[:, None]
+    ids, lists = np.repeat(np.arange(30), 8), np.tile(np.arange(8), 30)
+    found = posting.nearest(np.zeros((1, 1)), np.array([-1]), np.ones((1, 8), dtype=bool), x[ids], ids, lists, 10)
+    assert found[0][1].tolist() == [*range(10)]
+
+
 def test_query_on_a_centroid_gets_enough_rows():
     centres = np.random.default_rng(3).normal(size=(40, 8))
     graph, sizes = posting.Graph(centres), np.full(40, 3)
