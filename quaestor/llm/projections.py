@@ -1,5 +1,6 @@
 """Near-duplicate vectors by sorted projection passes: each pass orders the vectors by concatenated random hashes, compares
-bounded windows of neighbours, and the verified pairs of all passes are united."""
+bounded windows of neighbours, and the verified pairs of all passes are united to components. Within a component all pairs are
+then compared, in blocks, so that groups larger than a window have all their links."""
 
 from __future__ import annotations
 
@@ -17,6 +18,10 @@ from quaestor.llm.components import components
 
 #: Passes, bits of a key, neighbours that each vector is compared with in a pass, and rows of a block (a task's unit).
 PASSES, BITS, WINDOW, BLOCK = 24, 60, 512, 1024
+#: Rows of a part of a large component (eight times that where it would have more than PARTS), and of a bucket of small ones.
+PART, PARTS, BUCKET = 1024, 32, 512
+#: Components of more than one part whose numbers of parts may be broadcast, 16 bytes each.
+LARGE = 200_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,7 +113,9 @@ def pairs(classes: DataFrame, stash: Stash, threshold: float, passes: int = PASS
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = classes.mapInArrow(_keyed(passes, bits), "pass int, size int, key long, id long, e array<double>")
-    ordered = keyed.repartitionByRange(parts, "pass", "size", "key", "id").sortWithinPartitions("pass", "size", "key", "id")
+    # Equal keys lie in another order in each pass.
+    tie = F.xxhash64("pass", "id")
+    ordered = keyed.repartitionByRange(parts, "pass", "size", "key", tie).sortWithinPartitions("pass", "size", "key", tie, "id")
     ordered = stash.put(ordered.mapInArrow(_numbered, "part int, place long, pass int, id long, e array<double>"))
     before, total = {}, 0
     for part, n in sorted((r[0], r[1]) for r in ordered.groupBy("part").count().collect()):  # a row for each partition
@@ -123,23 +130,72 @@ def pairs(classes: DataFrame, stash: Stash, threshold: float, passes: int = PASS
     return dealt.groupBy("block").applyInArrow(_compared(window, block, threshold), "u long, v long").distinct()
 
 
+def _linked(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, marks, n, part, component = (np.asarray(table[c]) for c in ("id", "mark", "n", "part", "component"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        others, weight = np.zeros(len(ids)), n.astype(np.float64)
+        for rows, x in _by_length(table["e"].combine_chunks()):
+            # Each one's rows lie together; of two parts, each row of the first meets each of the second.
+            order = np.argsort(component[rows] if i == j else part[rows], kind="stable")
+            rows, x = rows[order], x[order]
+            ends = np.searchsorted(component[rows], component[rows], side="right") if i == j else None
+            first = len(rows) if i == j else int((part[rows] == i).sum())
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for at in range(0, first, 256):
+                stop = min(at + 256, first)
+                low, high = (at, int(ends[stop - 1])) if i == j else (first, len(rows))
+                a, b = rows[at:stop], rows[low:high]
+                near = unit[at:stop] @ unit[low:high].T
+                hits = (near >= threshold - 1e-9) & (ids[a][:, None] != ids[b]) & (component[a][:, None] == component[b])
+                if i == j:
+                    hits &= np.arange(at, stop)[:, None] < np.arange(low, high)
+                r, c = np.nonzero(hits & (near < threshold + 1e-9))
+                hits[r, c] = cosine_at_least(x[at + r], x[low + c], threshold)
+                hits = hits.astype(np.float64)
+                others[a] += hits @ weight[b]
+                others[b] += weight[a] @ hits
+        return pa.table({"id": ids, "mark": marks, "others": others.astype(np.int64)})
+
+    return run
+
+
+def linked(members: DataFrame, stash: Stash, threshold: float) -> DataFrame:
+    """(id, mark, others): for each of ``members`` (component, id, mark, n, e) the sum of ``n`` of those of its component with a
+    cosine of ``threshold`` or more, all pairs compared. A large component is split into parts, and each pair of parts is a
+    task's unit; small ones share buckets."""
+    count = members.count()
+    size = members.groupBy("component").count().where(F.col("count") > PART)
+    rows = F.least(F.greatest(F.col("count") / PARTS, F.lit(PART)), F.lit(8 * PART))
+    large = stash.put(size.select("component", F.ceil(F.col("count") / rows).cast("int").alias("parts")))
+    small = F.broadcast(large) if large.count() <= LARGE else large.hint("merge")
+    dealt = members.join(small, "component", "left").withColumn("large", F.col("parts").isNotNull()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("group", F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(-(-count // BUCKET) or 1))))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    dealt = dealt.select("large", "group", F.explode(meets).alias("meets"), "part", "component", "id", "mark", "n", "e").select("large", "group", "meets.*", "part", "component", "id", "mark", "n", "e")
+    return dealt.groupBy("large", "group", "i", "j").applyInArrow(_linked(threshold), "id long, mark long, others long").groupBy("id", "mark").agg(F.sum("others").alias("others"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding; other columns are ignored).
 
-    Equal vectors are one class with its smallest id and are never paired; between classes, the pairs found have a cosine of at
-    least ``threshold``. ``n_links``: other vectors linked directly, copies included. A vector that is null, empty, zero or
+    Equal vectors are one class with its smallest id and are never paired; classes are linked by a cosine of at least
+    ``threshold``. Components are those of the pairs found in some pass. ``n_links``: other vectors of the component linked
+    directly, copies included; all pairs of a component are compared. A vector that is null, empty, zero or
     holds a null or non-finite component links with nothing, and so do vectors of unlike lengths. A row without id links with
     nothing and is kept. Repeated rows each have a row, and count once as a link. No rows give no rows.
     """
     stash = Stash(vectors.sparkSession)
     rows = usable(vectors).distinct()
-    classes = stash.put(rows.groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    # An id may have several vectors: the mark tells them apart.
+    classes = stash.put(rows.groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("mark", F.xxhash64("e")))
     links = stash.put(pairs(classes.select("id", "e"), stash, threshold, passes, window, block, bits))
     comps = stash.put(components(links, stash))
-    sizes = classes.select("id", "n")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    seen = both.join(sizes.withColumnRenamed("id", "v").hint("merge"), "v").groupBy("u").agg(F.sum("n").alias("others")).withColumnRenamed("u", "id")
-    named = classes.join(seen.hint("merge"), "id", "left").join(comps.hint("merge"), "id", "left").select("e", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    members = stash.put(classes.join(comps.hint("merge"), "id"))
+    seen = linked(members, stash, threshold)
+    named = classes.join(seen.hint("merge"), ["id", "mark"], "left").join(comps.hint("merge"), "id", "left").select("e", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
     members = rows.join(named.hint("merge"), "e").select(F.col("id").alias("vec_id"), "n_links", "c")
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(_first(members).hint("merge"), "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")

@@ -170,6 +170,21 @@ def test_vector_duplicates_against_brute_force(spark):
     assert [got[int(i)]["component_id"] for i in ids] == label.tolist()
 
 
+@pytest.mark.parametrize("part", [1024, 50])
+def test_links_of_groups_larger_than_a_window(spark, monkeypatch, part):
+    monkeypatch.setattr(projections, "PART", part)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(520, 24))
+    x[:200] = x[0] + rng.normal(size=(200, 24)) * 1e-5
+    x[200:260] = x[200] * (1 + np.arange(60))[:, None]
+    x[260:420] = x[260] + rng.normal(size=(160, 24)) * 0.2
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (n @ n.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in projections.near_vectors(df, passes=6, window=16, block=32).collect()}
+    assert [got[k] for k in range(520)] == near.tolist() and near.max() == 199
+
+
 def test_vector_duplicates_on_odd_rows(odd_vectors):
     got = projections.near_vectors(odd_vectors).collect()
     assert len(got) == len(ODD_VECTORS)
