@@ -24,7 +24,7 @@ from quaestor.llm.common import Held, Stash, slices
 WINDOW = 4096
 #: Windows in a frame of the round-robin.
 FRAME = 256
-#: Queues; sources beyond the largest of these share the last one.
+#: Queues of one round-robin; sources beyond them are mixed by round-robins of their own, whose streams are its last queues.
 QUEUES = 64
 #: Rows of (shard, queue) offsets that may be broadcast, 24 bytes each; beyond it they are joined by a shuffle.
 OFFSETS = 1_000_000
@@ -107,6 +107,81 @@ class Places:
             done += n
 
 
+def plan(totals: list[int], weights: list[float] | None = None, window: int = WINDOW, queues: int = QUEUES) -> tuple[list[tuple[list[dict], int]], list[list[tuple[int, int]]]]:
+    """(round-robins: phases and window; for each source the (round-robin, queue) that its tokens pass, the root's last).
+
+    A round-robin has ``queues`` queues at most. Where there are more sources, the first ones have queues of the root and the
+    others, those with a weight apart from those without, are mixed to streams that have the sum of their totals and weights,
+    in windows of the tokens that the stream gives to one window above it.
+    """
+    wish = [float(x) for x in (weights if weights is not None else totals)]
+    plans: list[tuple[list[dict], int]] = []
+    paths: list[list[tuple[int, int]]] = [[] for _ in totals]
+
+    def total(tree) -> tuple[int, float]:
+        return (totals[tree], wish[tree]) if isinstance(tree, int) else tuple(map(sum, zip(*map(total, tree), strict=True)))
+
+    def split(own: list[int]) -> list:
+        step = -(-len(own) // queues)
+        return own if step == 1 else [split(own[a : a + step]) for a in range(0, len(own), step)]
+
+    def leaves(tree) -> list[int]:
+        return [tree] if isinstance(tree, int) else [x for t in tree for x in leaves(t)]
+
+    def add(tree: list, size: int) -> None:
+        sums = [total(t) for t in tree]
+        mine, every = len(plans), sum(x[1] for x in sums)
+        plans.append((schedule([x[0] for x in sums], [x[1] for x in sums], size), size))
+        for slot, (t, (_, part)) in enumerate(zip(tree, sums, strict=True)):
+            if not isinstance(t, int):
+                add(t, max(1, round(size * part / every)) if part and every else size)
+            for q in leaves(t):
+                paths[q].append((mine, slot))
+
+    own = [*range(len(totals))]
+    if len(own) > queues:
+        order = sorted(own, key=lambda q: not wish[q])
+        rest = [split(x) for x in ([q for q in order[queues - 2 :] if wish[q]], [q for q in order[queues - 2 :] if not wish[q]]) if x]
+        own = order[: queues - 2] + rest
+    add(own, window)
+    return plans, paths
+
+
+class Streams:
+    """Where a source's tokens go, through all round-robins of a plan."""
+
+    def __init__(self, plans: list[tuple[list[dict], int]], paths: list[list[tuple[int, int]]]):
+        self.plans, self.paths = plans, paths
+        self.places: dict[int, Places] = {}
+
+    def _through(self, path: list[tuple[int, int]], start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        (k, queue), *above = path
+        if k not in self.places:
+            self.places[k] = Places(self.plans[k][0])
+        for done, n, window, offset in self.places[k].pieces(queue, start, length):
+            if not above:
+                yield done, n, window, offset
+                continue
+            for more, m, w, o in self._through(above, window * self.plans[k][1] + offset, n):
+                yield done + more, m, w, o
+
+    def pieces(self, source: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """As of Places; pieces that lie one after another in a window are one."""
+        path, last = self.paths[source], None
+        if len(path) == 1:
+            yield from self._through(path, start, length)
+            return
+        for done, n, window, offset in self._through(path, start, length):
+            if last and last[2] == window and last[3] + last[1] == offset:
+                last = (last[0], last[1] + n, window, last[3])
+                continue
+            if last:
+                yield last
+            last = (done, n, window, offset)
+        if last:
+            yield last
+
+
 def _tokens(held, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, totals = bpe.codec(held), TaskContext.get().partitionId(), {}
@@ -126,9 +201,9 @@ def _tokens(held, end_id: int):
     return run
 
 
-def _cut(phases: list[dict]):
+def _cut(plans: list[tuple[list[dict], int]], paths: list[list[tuple[int, int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(phases)
+        places = Streams(plans, paths)
         for whole in batches:
             for batch in slices(whole, "ids", 8 << 20):
                 rows: list[list] = [[] for _ in range(8)]
@@ -147,27 +222,33 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
 
     A document (doc_id, text, source; other columns are ignored) is its ids by the vocabulary at ``path`` and ``end_id``. All
     sequences but the last hold exactly ``window`` ids. ``weights``: target proportion of each source's tokens, by default the
-    source's share of all tokens; a source not named there has weight 0 and is used when the others have run out. A null
+    source's share of all tokens; a source not named there has weight 0 and is used when the others have run out. Of
+    more than QUEUES sources, those with fewest rows are mixed to streams first; what one that has run out leaves goes to its
+    stream. A null
     source is a source of its own; a null text is empty and gives the end id alone; rows that repeat an id are documents of
     their own. No rows give no rows.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    top = [r[0] for r in docs.groupBy("source").count().orderBy(F.desc("count"), F.asc_nulls_first("source")).limit(QUEUES).collect()]
-    if len(top) == QUEUES:
-        top = top[:-1]
-    queue = F.lit(len(top))
-    for k, name in enumerate(top):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(name)), k).otherwise(queue)
+    # A row for each source; those with most rows come first.
+    top = [r[0] for r in docs.groupBy("source").count().orderBy(F.desc("count"), F.asc_nulls_first("source")).collect()]
+    if len(top) <= QUEUES:
+        queue = F.lit(len(top))
+        for k, name in enumerate(top):
+            queue = F.when(F.col("source").eqNullSafe(F.lit(name)), k).otherwise(queue)
+        docs = docs.withColumn("queue", queue)
+    else:
+        numbers = spark.createDataFrame([*zip(top, range(len(top)), strict=True)], "name string, queue int")
+        docs = docs.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")))
     held = Held(spark, bpe.load(path))
-    coded = stash.put(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(_tokens(held, end_id), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
+    coded = stash.put(docs.select("doc_id", "text", "queue").mapInArrow(_tokens(held, end_id), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
     sums = coded.groupBy("shard", "queue").agg(F.sum("doc_tokens").alias("n"))
     offsets = stash.put(sums.select("shard", "queue", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("shard")) - F.col("n")).alias("before")))
     by_queue = {r[0]: r[1] for r in offsets.groupBy("queue").agg(F.sum("n")).collect()}
-    totals = [by_queue.get(k, 0) for k in range(len(top) + 1)]
-    wish = None if weights is None else [weights.get(x, 0.0) for x in top] + [0.0]
-    phases = schedule(totals, wish, window)
+    totals = [by_queue.get(k, 0) for k in range(len(top))]
+    wish = None if weights is None else [weights.get(x, 0.0) for x in top]
+    plans, paths = plan(totals, wish, window)
     small = F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets.hint("merge")
     placed = coded.join(small, ["shard", "queue"]).select("doc_id", "queue", (F.col("before") + F.col("place")).alias("place"), "ids")
-    return placed.mapInArrow(_cut(phases), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(_cut(plans, paths), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -72,6 +72,42 @@ def test_bpe_query_on_odd_rows(odd, empty, tokenizer):
     assert bpe.coded(odd, queries.vocabulary()).where("n_tokens = 0").count() >= 3
 
 
+def test_packing_of_many_sources():
+    pick = random.Random(3)
+    totals = [pick.randint(3000, 6000) for _ in range(150)]
+    weights = [0.0] * 150
+    weights[140], weights[7] = 1.0, 3.0
+    for wish in (None, weights):
+        places, filled, by_window = packing.Streams(*packing.plan(totals, wish, 600)), collections.defaultdict(list), collections.defaultdict(collections.Counter)
+        for q, total in enumerate(totals):
+            done = 0
+            for start, n, window, offset in places.pieces(q, 0, total):
+                assert start == done and n > 0
+                done += n
+                filled[window].append((offset, n))
+                by_window[window][q] += n
+            assert done == total
+        last = max(filled)
+        assert sorted(filled) == [*range(last + 1)]
+        for window, own in filled.items():
+            at = 0
+            for offset, n in sorted(own):
+                assert offset == at
+                at += n
+            assert at == 600 if window < last else at <= 600
+        if wish:
+            assert all(abs(by_window[w][140] - 150) <= 1 and by_window[w][140] + by_window[w][7] == 600 for w in range(3))
+        else:
+            assert all(sum(by_window[w].get(q, 0) > 0 for q in range(62, 150)) >= 80 for w in range(0, last // 2, 50))
+
+
+def test_sources_beyond_the_queues_have_their_weights(spark, tokenizer):
+    rows = [(k, "some plain words of a text " * 30, f"s{k % 70:03d}") for k in range(140)] + [(k, "x", f"s{k % 70:03d}") for k in range(140, 209)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.packed(df, queries.vocabulary(), window=64, weights={"s069": 1.0}).where("sequence_id = 0").collect()
+    assert {r["doc_id"] % 70 for r in got} == {69} and sum(r["length"] for r in got) == 64
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0}])
 def test_packing_is_whole(odd, empty, tokenizer, weights):
     got = [r.asDict() for r in packing.packed(odd, queries.vocabulary(), window=64, weights=weights).collect()]
