@@ -10,8 +10,10 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.common import Held, slices
+from quaestor.llm.kernel import mix
 
 END = "</w>"
 NEVER = np.iinfo(np.int64).max
-#: Distinct words that a worker remembers; beyond it, the words of a batch are remembered for that batch.
-MEMORY = 250_000
-
-# The pre-tokenizer's pattern, and the same for texts that hold only ASCII and Latin-1 letters.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
-LATIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+#: Distinct words that a worker remembers, by 64-bit hash, some 80 bytes each; when it has more, it begins anew.
+MEMORY = 1 << 19
+
+# What follows an apostrophe in the pre-tokenizer's pattern
+# 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+CLITICS = "s t m d re ve ll"
+# White space (\s), and letters that later Unicode versions than Python's have in two cases.
+SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+LATER_CASES = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+# Where Unicode 16 has added letters and numbers.
+LATER = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139),
+    (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+SPACE, LETTER, NUMBER, OTHER = range(4)
 
 #: Words of more bytes are merged one by one, with a heap.
 LONG = 48
@@ -38,9 +50,65 @@ _rng = np.random.default_rng(11)
 SYMBOLS = _rng.integers(0, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+LETTER_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+_later = re.compile("[" + "".join(map(chr, LATER_CASES)) + "]")
+
+
+@cache
+def kinds() -> np.ndarray:
+    """Space, letter, number or other for each code point, as of Unicode 16."""
+    of = {"L": LETTER, "N": NUMBER}
+    out = np.array([of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+    for first, last in LATER:
+        for c in range(first, last + 1):
+            out[c] = LETTER if regex.match(r"\p{L}", chr(c)) else NUMBER if regex.match(r"\p{N}", chr(c)) else OTHER
+    out[SPACES] = SPACE
+    return out
+
 
-_latin = re.compile(LATIN_PATTERN)
-_any = regex.compile(PATTERN)
+def lowered(text: str) -> str:
+    """Composed and lower-cased letter by letter, whatever surrounds them."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _later.search(text):
+            text = text.translate(LATER_CASES)
+    return text.lower()
+
+
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a lower-cased text's pre-tokens: the first place, the length, and a 64-bit hash."""
+    ends = "   "  # room for what follows a last apostrophe
+    try:
+        code = np.frombuffer((text + ends).encode("latin-1"), dtype=np.uint8)
+    except UnicodeEncodeError:
+        code = np.frombuffer((text + ends).encode("utf-32-le"), dtype=np.uint32)
+    kind = kinds()[code]
+    begins = np.empty(len(kind), dtype=bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == NUMBER
+    begins &= kind != SPACE
+    # An apostrophe that begins a run of other characters takes the letters of a clitic with it.
+    for at in [np.flatnonzero((code == 0x27) & begins)]:
+        for clitic in CLITICS.split():
+            own = at[np.logical_and.reduce([code[at + 1 + k] == ord(c) for k, c in enumerate(clitic)])]
+            begins[own + 1] = False
+            own = own + 1 + len(clitic)
+            begins[own[kind[own] == LETTER]] = True
+    solid = np.flatnonzero(kind != SPACE)
+    first = np.flatnonzero(begins[solid])
+    if not len(first):
+        return first, first, np.zeros(0, np.uint64)
+    length = np.diff(first, append=len(solid))
+    place = np.arange(len(solid)) - np.repeat(first, length)
+    h = (code[solid].astype(np.uint64) + np.uint64(1)) * LETTER_STEP
+    h ^= h >> np.uint64(31)
+    h *= np.cumprod(np.full(int(length.max()), BASE))[place]
+    return solid[first], length, mix(np.add.reduceat(h, first) + length.astype(np.uint64))
 
 
 def byte_symbols() -> list[str]:
@@ -128,13 +196,17 @@ class Lookup:
     def __init__(self, keys: np.ndarray):
         bits = max(4, int(len(keys) * 6).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.keys, self.at = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int64)
+        self.keys, self.at = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int32)
+        self.put(keys, np.arange(len(keys)))
+
+    def put(self, keys: np.ndarray, at: np.ndarray) -> None:
+        """Adds absent ``keys`` with their positions."""
         rest = np.arange(len(keys))
         slot = (keys * BASE >> self.shift).astype(np.int64)
         while len(rest):
-            free = self.at[slot[rest]] < 0
-            self.at[slot[rest[free]]] = rest[free]
-            mine = self.at[slot[rest]] == rest
+            free = rest[self.at[slot[rest]] < 0]
+            self.at[slot[free]] = at[free]
+            mine = self.at[slot[rest]] == at[rest]
             self.keys[slot[rest[mine]]] = keys[rest[mine]]
             rest = rest[~mine]
             slot[rest] = (slot[rest] + 1) & (len(self.at) - 1)
@@ -150,6 +222,30 @@ class Lookup:
         return out
 
 
+class Known:
+    """Words that have been encoded: a hash table from 64-bit keys to runs of ids, which grows."""
+
+    def __init__(self):
+        self.keys, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.table = Lookup(self.keys)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return self.table.get(keys)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> None:
+        """New ``keys``; the k-th has ``ids`` from begin[k] to begin[k + 1]."""
+        old, self.keys = len(self.keys), np.append(self.keys, keys)
+        self.begin, self.count = np.append(self.begin, begin[:-1] + len(self.ids)), np.append(self.count, np.diff(begin))
+        self.ids = np.append(self.ids, ids.astype(np.uint32))
+        if 2 * len(self.keys) > len(self.table.at):
+            self.table = Lookup(self.keys)
+        else:
+            self.table.put(keys, np.arange(old, len(self.keys)))
+
+
 class Codec:
     """Encodes and decodes; one for each worker process and vocabulary."""
 
@@ -157,27 +253,11 @@ class Codec:
         self.__dict__.update(tables)
         self.pairs = Lookup(self.keys.astype(np.uint64))
         self.by_hash = Lookup(self.hashes)
-        self.kept: dict[str, bytes] = {}
+        self.known = Known()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     # Words
 
-    def words(self, text: str) -> list[str]:
-        """Normalised pre-tokens of a text without special tokens."""
-        try:
-            plain = not text.encode("latin-1").translate(None, LATIN)
-        except UnicodeEncodeError:
-            plain = False
-        if plain:
-            return _latin.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        new = [c for c in {*text} if unicodedata.category(c) == "Cn"]  # letters of later Unicode versions count as symbols
-        if new:
-            out = "".join(map(regex.escape, sorted(new)))
-            return regex.findall(PATTERN.replace(r"[\p{L}]", rf"[\p{{L}}--[{out}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{out}]]").replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{out}])"), text, regex.V1)
-        return _any.findall(text)
-
     def propose(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words by greedy longest match, and the word of each; a word's symbols are its bytes + 1, then 0."""
         powers = np.cumprod(np.full(len(data) + 1, BASE)) * INVERSE
@@ -253,8 +333,8 @@ class Codec:
             x, y = np.where(by_x, self.right[x], x), np.where(by_x, y, self.left[y])
         return good
 
-    def learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Encodes distinct words: proposes, tests all adjacent pairs at once, merges those words exactly that fail."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, and where each word's begin: proposes, tests all adjacent pairs at once, merges those words exactly that fail."""
         spelt = [x.encode("utf-8") for x in words]
         data = np.frombuffer(b"\0".join(spelt) + b"\0", dtype=np.uint8).astype(np.int64) + 1
         begin = np.cumsum([0, *(len(x) + 1 for x in spelt)])
@@ -280,9 +360,7 @@ class Codec:
             tokens, who = (np.concatenate(x) for x in zip((tokens[keep], who[keep]), *parts, strict=True))
             order = np.argsort(who, kind="stable")
             tokens, who = tokens[order], who[order]
-        raw, ends = tokens.astype("<u4").tobytes(), (np.searchsorted(who, np.arange(len(words) + 1)) * 4).tolist()
-        for k, word in enumerate(words):
-            into[word] = raw[ends[k] : ends[k + 1]]
+        return tokens, np.searchsorted(who, np.arange(len(words) + 1))
 
     def _long(self, symbols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         out = merge([*symbols[:-1].tolist(), int(self.base_end[np.flatnonzero(self.base == symbols[-1])[0]])], self.ranks)
@@ -291,40 +369,36 @@ class Codec:
     # Texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts: list[list[list[str] | bytes]] = []
-        for text in texts:
-            if self.split is None or "<|" not in text:
-                parts.append([self.words(text)])
-            else:
-                parts.append([np.array([self.special[x]], dtype="<u4").tobytes() if x in self.special else self.words(x) for x in self.split.split(text) if x])
-        kept = self.kept
-        fresh = {w for part in parts for x in part if not isinstance(x, bytes) for w in x if w not in kept}
-        if fresh:
-            self.learn(sorted(fresh), extra := {})
-            if len(self.kept) + len(extra) <= MEMORY:
-                self.kept.update(extra)
-            else:
-                kept = _Both(self.kept, extra)
-        get = kept.__getitem__
-        return [b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in part]) for part in parts]
+        """The ids of each text as little-endian unsigned 32-bit integers. Words are told apart by 64-bit hashes."""
+        # Special tokens are found in the text as it is; what lies between them is a text of its own.
+        parts = [[text] if self.split is None or not self.split.search(text) else self.split.split(text) for text in texts]
+        plain = [lowered(x) for own in parts for x in own[::2]]
+        whole = "\n".join(plain)
+        at, length, hashes = spans(whole)
+        row = self.known.find(hashes)
+        if len(new := np.flatnonzero(row < 0)):
+            fresh, one = np.unique(hashes[new], return_index=True)
+            one = new[one]
+            if len(self.known) + len(fresh) > MEMORY:
+                # All words of this batch are learnt again, so that none points into what was forgotten.
+                self.known = Known()
+                fresh, one = np.unique(hashes, return_index=True)
+            ids, begin = self.learn([whole[a : a + n] for a, n in zip(at[one].tolist(), length[one].tolist(), strict=True)])
+            self.known.add(fresh, ids, begin)
+            row = self.known.find(hashes)
+        begin, count = self.known.begin[row], self.known.count[row]
+        ends = np.cumsum(count)
+        ids = self.known.ids[np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        starts = np.cumsum([0, *(len(x) + 1 for x in plain)])[:-1]
+        edges = (4 * np.append(0, ends)[np.append(np.searchsorted(at, starts), len(at))]).tolist()
+        coded = iter([ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        return [next(coded) if len(own) == 1 else b"".join(np.array([self.special[x]], dtype="<u4").tobytes() if k % 2 else next(coded) for k, x in enumerate(own)) for own in parts]
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder: tokens are joined by single spaces."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-class _Both(dict):
-    """The remembered words, and those of this batch."""
-
-    def __init__(self, kept: dict, extra: dict):
-        super().__init__(extra)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self.kept[word]
-
-
 def codec(held: Held) -> Codec:
     """This process's codec for a broadcast of ``load``'s tables."""
     return held.made(Codec)

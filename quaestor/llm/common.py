@@ -16,21 +16,37 @@ STEP_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_quaestor_folder", None) or tempfile.mkdtemp(prefix="quaestor-")
         spark.sparkContext._quaestor_folder = found
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this session; for when the results that read them have been written."""
+    for root in getattr(spark.sparkContext, "_quaestor_tables", []):
+        _delete(spark, root)
+    spark.sparkContext._quaestor_tables = []
+
+
 class Stash:
-    """Tables written as Parquet to the shared folder and read again, so that their lineage is cut; ``drop`` removes one."""
+    """Tables written as Parquet to the shared folder and read again, so that their lineage is cut; ``drop`` removes some, and
+    ``release`` those that results still read when an operator returns."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/quaestor-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        spark.sparkContext._quaestor_tables = [*getattr(spark.sparkContext, "_quaestor_tables", []), self.root]
 
     def put(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -43,13 +59,17 @@ class Stash:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             if path := self.paths.pop(id(table), None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
 
 
 _made: dict[str, object] = {}
 
 
+def forget() -> None:
+    """Frees what this worker process has made of a broadcast value, for an operator's step that needs none."""
+    _made.clear()
+
+
 class Held:
     """A broadcast value with a key of its own, by which worker processes remember what they make of it."""
 

@@ -1,15 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token proportions.
 
-The queues' token totals fix the whole schedule: within a frame of windows the round-robin is played once, deficits carried
-from window to window; frames repeat until a queue can't fill its part, then one window takes up what that queue has and a new
-frame is played for the rest. So a queue's tokens before a window are a closed form of the window's number, and each document
-finds its pieces by itself, in any partition, with nothing but its place in its queue.
+In each round, a queue's deficit grows by its share of one token, and a queue whose deficit has come to half a token sends
+one, so its deficit falls by one. Windows are runs of what is sent; deficits are carried from window to window, in whichever
+partition a window's tokens lie, for as long as all queues last. What a queue has sent after a number of rounds is a closed
+form, and so is the place of each token: each document finds its pieces by itself, in any partition, with nothing but its
+place in its queue. When a queue runs out, one window takes up what it has, and the others' rounds begin anew.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,104 +19,141 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm import bpe
-from quaestor.llm.common import Held, Stash, slices
+from quaestor.llm.common import Held, Stash, forget, slices
 
 WINDOW = 4096
-#: Windows in a frame of the round-robin.
-FRAME = 256
 #: Queues of one round-robin; sources beyond them are mixed by round-robins of their own, whose streams are its last queues.
 QUEUES = 64
-#: Rows of (shard, queue) offsets that may be broadcast, 24 bytes each; beyond it they are joined by a shuffle.
+#: Shares are whole numbers with a sum of about this at most, so that products of two of them fit 64 bits.
+SCALE = 1 << 30
+#: Rows of (shard, queue) offsets, or of sources, that may be broadcast, some 30 bytes each; beyond it they are joined by a shuffle.
 OFFSETS = 1_000_000
-
-
-def frame(shares: np.ndarray, window: int, frames: int) -> np.ndarray:
-    """Tokens of each queue (row) before each window of a frame, by deficit round-robin; every window gets exactly ``window``."""
-    shares = shares / shares.sum()
-    deficit = np.zeros(len(shares))
-    out = np.zeros((len(shares), frames + 1), dtype=np.int64)
-    for w in range(frames):
-        deficit += shares * window
-        take = np.maximum(np.floor(deficit), 0).astype(np.int64)
-        while (over := int(take.sum()) - window) > 0:
-            k = np.argmin(np.where(take > 0, deficit - take, np.inf))
-            take[k] -= min(over, take[k])
-        while (short := window - int(take.sum())) > 0:
-            order = np.argsort(take - deficit, kind="stable")
-            order = order[shares[order] > 0][:short]
-            take[order] += 1
-        deficit -= take
-        out[:, w + 1] = out[:, w] + take
-    return out
-
-
-def schedule(totals: list[int], weights: list[float] | None = None, window: int = WINDOW, frames: int = FRAME) -> list[dict]:
-    """Phases that use up all queues: first window, number of windows, each queue's tokens before the phase, and its frame.
-
-    Weights default to the totals, so that all queues last to the end. A queue that has run out leaves its share to the rest.
+#: Tokens whose pieces are found at once; a longer document is cut there as well.
+BLOCK = 1 << 16
+
+Pieces = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Rounds:
+    """A round-robin of queues with whole-numbered shares: what they have sent, and where each token comes."""
+
+    def __init__(self, shares: list[int], size: int):
+        self.shares, self.total, self.size = np.array(shares, dtype=np.int64), int(sum(shares)), size
+
+    def sent(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (column) after each number of rounds (row): rounds * share / total, rounded half up."""
+        turns, rest = np.divmod(rounds, self.total)
+        return turns[:, None] * self.shares + (2 * rest[:, None] * self.shares + self.total) // (2 * self.total)
+
+    def place(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """How many tokens of all queues are sent before each of these tokens; within a round, queues send in order."""
+        share = self.shares[queue]
+        turns, rest = np.divmod(token, share)
+        rounds = turns * self.total - (-(2 * rest + 1) * self.total // (2 * share))
+        before = self.sent(rounds - 1)
+        now = self.sent(rounds) - before
+        return before.sum(1) + (now * (np.arange(len(self.shares)) < queue[:, None])).sum(1)
+
+    def before(self, window: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (column) before each window (row)."""
+        want = window * self.size
+        rounds = 2 * want - self.sent(want).sum(1)
+        while len(high := np.flatnonzero(self.sent(rounds).sum(1) > want)):
+            rounds[high] -= 1
+        while len(low := np.flatnonzero(self.sent(rounds + 1).sum(1) <= want)):
+            rounds[low] += 1
+        out = self.sent(rounds)
+        now = self.sent(rounds + 1) - out
+        return out + (now * (np.cumsum(now, axis=1) <= (want - out.sum(1))[:, None]))
+
+
+def scaled(wish: list[float]) -> list[int]:
+    """Whole numbers in these proportions, with a sum of SCALE at most, or one for each queue more."""
+    if all(x == int(x) for x in wish) and sum(wish) <= SCALE:
+        return [int(x) for x in wish]
+    every = sum(wish)
+    return [max(1, int(x / every * SCALE)) if x > 0 else 0 for x in wish]
+
+
+def schedule(totals: list[int], weights: list[float] | None = None, window: int = WINDOW) -> list[dict]:
+    """Phases that use up all queues: first window, each queue's tokens before the phase, and its rounds.
+
+    Weights default to what the queues hold, so that all last to the end. A queue that has run out leaves its share to the
+    rest; one of weight 0 sends when no other is left.
     """
     rest, used = np.array(totals, dtype=np.int64), np.zeros(len(totals), dtype=np.int64)
-    wish = np.array(weights if weights is not None else totals, dtype=np.float64)
     phases, at = [], 0
     while rest.sum() > 0:
-        live = rest > 0
-        shares = np.where(live, np.maximum(wish, 1e-12 * max(wish.max(), 1)), 0.0)
-        table = frame(shares, window, frames)
-        whole = [int(r // t[-1]) * frames + bisect_right(t.tolist(), int(r % t[-1])) - 1 if t[-1] else None for r, t in zip(rest, table, strict=True)]
-        count = min(w for w in whole if w is not None)
-        if count > 0:
-            phases.append({"first": at, "count": count, "base": used.tolist(), "table": table})
-            took = (count // frames) * table[:, -1] + table[:, count % frames]
+        live = (rest > 0).tolist()
+        wish = [w if on else 0 for w, on in zip(weights if weights is not None else rest.tolist(), live, strict=True)]
+        rounds = Rounds(scaled(wish if sum(wish) else rest.tolist()), window)
+        own = np.flatnonzero(rounds.shares)
+        # Up to the window in which a queue's first missing token would lie.
+        count = int(rounds.place(own, rest[own]).min()) // window
+        if count:
+            took = rounds.before(np.array([count]))[0]
         else:
-            took = np.minimum(rest, table[:, 1])
-            while (room := window - int(took.sum())) > 0 and (left := rest - took).sum() > 0:
-                live = left > 0
-                part = np.where(live, shares, 0) / np.where(live, shares, 0).sum()
-                took = took + np.minimum(left, np.maximum(np.floor(part * room), 0).astype(np.int64))
-                if int(took.sum()) + 0 == window - room:
-                    took[np.flatnonzero(live)[0]] += 1
-            phases.append({"first": at, "count": 1, "base": used.tolist(), "table": np.stack([np.zeros_like(took), took], axis=1)})
-            count = 1
+            took, count = np.minimum(rest, rounds.shares * window // rounds.total), 1
+            for q in np.argsort(-rounds.shares, kind="stable"):
+                took[q] += min(rest[q] - took[q], window - took.sum())
+            rounds = Rounds(took.tolist(), int(took.sum()))
+        phases.append({"first": at, "base": used.copy(), "rounds": rounds})
         rest, used, at = rest - took, used + took, at + count
     return phases
 
 
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the copies: its row, and its number in the row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
 class Places:
-    """Where a queue's tokens go."""
+    """Where the queues' tokens go."""
 
     def __init__(self, phases: list[dict]):
         self.phases = phases
-        queues = len(phases[0]["base"]) if phases else 0
-        self.bases = [[p["base"][q] for p in phases] for q in range(queues)]
-        self.tables = [[p["table"][q].tolist() for p in phases] for q in range(queues)]
-        # Within a window, queues lie one after another.
-        self.before = [np.vstack([np.zeros(p["table"].shape[1] - 1, dtype=np.int64), np.cumsum(np.diff(p["table"], axis=1), axis=0)]).T.tolist() for p in phases]
-
-    def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset in the window) of ``length`` tokens from place ``start`` of a queue."""
-        done, bases, tables = 0, self.bases[queue], self.tables[queue]
-        while done < length:
-            q = start + done
-            k = bisect_right(bases, q) - 1
-            table = tables[k]
-            frames = len(table) - 1
-            turn, rest = divmod(q - bases[k], table[-1]) if table[-1] else (0, 0)
-            w = bisect_right(table, rest) - 1
-            n = min(length - done, table[w + 1] - rest)
-            yield done, n, self.phases[k]["first"] + turn * frames + w, self.before[k][w][queue] + rest - table[w]
-            done += n
-
-
-def plan(totals: list[int], weights: list[float] | None = None, window: int = WINDOW, queues: int = QUEUES) -> tuple[list[tuple[list[dict], int]], list[list[tuple[int, int]]]]:
-    """(round-robins: phases and window; for each source the (round-robin, queue) that its tokens pass, the root's last).
+        self.bases = np.array([p["base"] for p in phases]) if phases else np.zeros((0, 0), np.int64)
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> Pieces:
+        """(row, start in the row, length, window, offset in the window) of runs of ``length`` tokens from ``start`` of a queue."""
+        bases, end, out = self.bases[:, queue], start + length, []
+        low, high = ((bases <= x).sum(0) - 1 for x in (start, end - 1))
+        row, phase = _spread(np.where(length > 0, high - low + 1, 0))
+        phase += low[row]
+        for k in np.unique(phase):
+            own = row[phase == k]
+            base, rounds, first = bases[k, own], self.phases[k]["rounds"], self.phases[k]["first"]
+            till = end[own] if k + 1 == len(bases) else np.minimum(end[own], bases[k + 1, own])
+            a, b = np.maximum(start[own] - base, 0), till - base
+            some = b > a
+            own, base, a, b, q = own[some], base[some], a[some], b[some], queue[own[some]]
+            if not len(own):
+                continue
+            window = rounds.place(q, a) // rounds.size
+            at, more = _spread(rounds.place(q, b - 1) // rounds.size - window + 1)
+            window = window[at] + more
+            known, back = np.unique(np.append(window, window + 1), return_inverse=True)
+            before = rounds.before(known)
+            this, then = before[back[: len(window)]], before[back[len(window) :]]
+            take, q, each = then - this, q[at], np.arange(len(at))
+            u, v = np.maximum(a[at], this[each, q]), np.minimum(b[at], then[each, q])
+            offset = (np.cumsum(take, axis=1) - take)[each, q] + u - this[each, q]
+            some = v > u
+            out.append([x[some] for x in (own[at], base[at] + u - start[own[at]], v - u, first + window, offset)])
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def plan(totals: list[int], weights: list[float] | None = None, window: int = WINDOW, queues: int = QUEUES) -> tuple[list[tuple[list[dict], int, tuple[int, int] | None]], list[tuple[int, int]]]:
+    """(round-robins: phases, window, and the (round-robin, queue) that its stream is; for each source its (round-robin, queue)).
 
     A round-robin has ``queues`` queues at most. Where there are more sources, the first ones have queues of the root and the
     others, those with a weight apart from those without, are mixed to streams that have the sum of their totals and weights,
     in windows of the tokens that the stream gives to one window above it.
     """
-    wish = [float(x) for x in (weights if weights is not None else totals)]
-    plans: list[tuple[list[dict], int]] = []
-    paths: list[list[tuple[int, int]]] = [[] for _ in totals]
+    wish = [float(x) for x in weights] if weights is not None else totals
+    plans: list[tuple[list[dict], int, tuple[int, int] | None]] = []
+    leaf: list[tuple[int, int]] = [(0, 0)] * len(totals)
 
     def total(tree) -> tuple[int, float]:
         return (totals[tree], wish[tree]) if isinstance(tree, int) else tuple(map(sum, zip(*map(total, tree), strict=True)))
@@ -125,61 +162,55 @@ def plan(totals: list[int], weights: list[float] | None = None, window: int = WI
         step = -(-len(own) // queues)
         return own if step == 1 else [split(own[a : a + step]) for a in range(0, len(own), step)]
 
-    def leaves(tree) -> list[int]:
-        return [tree] if isinstance(tree, int) else [x for t in tree for x in leaves(t)]
-
-    def add(tree: list, size: int) -> None:
+    def add(tree: list, size: int, above: tuple[int, int] | None) -> None:
         sums = [total(t) for t in tree]
         mine, every = len(plans), sum(x[1] for x in sums)
-        plans.append((schedule([x[0] for x in sums], [x[1] for x in sums], size), size))
+        plans.append((schedule([x[0] for x in sums], None if weights is None else [x[1] for x in sums], size), size, above))
         for slot, (t, (_, part)) in enumerate(zip(tree, sums, strict=True)):
-            if not isinstance(t, int):
-                add(t, max(1, round(size * part / every)) if part and every else size)
-            for q in leaves(t):
-                paths[q].append((mine, slot))
+            if isinstance(t, int):
+                leaf[t] = (mine, slot)
+            else:
+                add(t, max(1, round(size * part / every)) if part and every else size, (mine, slot))
 
     own = [*range(len(totals))]
     if len(own) > queues:
         order = sorted(own, key=lambda q: not wish[q])
         rest = [split(x) for x in ([q for q in order[queues - 2 :] if wish[q]], [q for q in order[queues - 2 :] if not wish[q]]) if x]
         own = order[: queues - 2] + rest
-    add(own, window)
-    return plans, paths
+    add(own, window, None)
+    return plans, leaf
 
 
 class Streams:
-    """Where a source's tokens go, through all round-robins of a plan."""
+    """Where sources' tokens go, through all round-robins of a plan."""
 
-    def __init__(self, plans: list[tuple[list[dict], int]], paths: list[list[tuple[int, int]]]):
-        self.plans, self.paths = plans, paths
+    def __init__(self, plans: list[tuple[list[dict], int, tuple[int, int] | None]], leaf: list[tuple[int, int]]):
+        self.plans, self.leaf = plans, np.array(leaf, dtype=np.int64).reshape(-1, 2)
         self.places: dict[int, Places] = {}
 
-    def _through(self, path: list[tuple[int, int]], start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        (k, queue), *above = path
+    def _through(self, k: int, slot: np.ndarray, start: np.ndarray, length: np.ndarray) -> Pieces:
         if k not in self.places:
             self.places[k] = Places(self.plans[k][0])
-        for done, n, window, offset in self.places[k].pieces(queue, start, length):
-            if not above:
-                yield done, n, window, offset
-                continue
-            for more, m, w, o in self._through(above, window * self.plans[k][1] + offset, n):
-                yield done + more, m, w, o
-
-    def pieces(self, source: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """As of Places; pieces that lie one after another in a window are one."""
-        path, last = self.paths[source], None
-        if len(path) == 1:
-            yield from self._through(path, start, length)
-            return
-        for done, n, window, offset in self._through(path, start, length):
-            if last and last[2] == window and last[3] + last[1] == offset:
-                last = (last[0], last[1] + n, window, last[3])
-                continue
-            if last:
-                yield last
-            last = (done, n, window, offset)
-        if last:
-            yield last
+        row, done, n, window, offset = self.places[k].pieces(slot, start, length)
+        if (above := self.plans[k][2]) is None or not len(row):
+            return row, done, n, window, offset
+        up, more, n, window, offset = self._through(above[0], np.full(len(row), above[1]), window * self.plans[k][1] + offset, n)
+        return row[up], done[up] + more, n, window, offset
+
+    def pieces(self, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> Pieces:
+        """(row, start in the row, length, window, offset), in order; pieces that lie one after another in a window are one."""
+        found = []
+        for k in np.unique(self.leaf[source, 0]):
+            rows = np.flatnonzero(self.leaf[source, 0] == k)
+            row, *rest = self._through(int(k), self.leaf[source[rows], 1], start[rows], length[rows])
+            found.append((rows[row], *rest))
+        row, done, n, window, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+        order = np.lexsort((done, row))
+        row, done, n, window, offset = (x[order] for x in (row, done, n, window, offset))
+        if not len(row):
+            return row, done, n, window, offset
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (window[1:] != window[:-1]) | (offset[1:] != offset[:-1] + n[:-1])))
+        return row[first], done[first], np.add.reduceat(n, first), window[first], offset[first]
 
 
 def _tokens(held, end_id: int):
@@ -201,23 +232,30 @@ def _tokens(held, end_id: int):
     return run
 
 
-def _cut(plans: list[tuple[list[dict], int]], paths: list[list[tuple[int, int]]]):
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _cut(plans: list, leaf: list[tuple[int, int]], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Streams(plans, paths)
+        forget()
+        places = Streams(plans, leaf)
         for whole in batches:
-            for batch in slices(whole, "ids", 8 << 20):
-                rows: list[list] = [[] for _ in range(8)]
-                for doc, queue, place, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "place", "ids")), strict=True):
-                    for start, n, window, offset in places.pieces(queue, place, len(ids) // 4):
-                        piece = ids[4 * start : 4 * (start + n)]
-                        for column, x in zip(rows, (doc, start, n, zlib.crc32(piece), len(ids) // 4, window, offset, piece), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:7]), pa.array(rows[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            for batch in slices(whole, "ids", 4 * BLOCK):
+                doc, queue, place = (np.asarray(batch.column(c)) for c in ("doc_id", "queue", "place"))
+                texts = [memoryview(x.as_buffer()) for x in batch.column("ids")]
+                size = np.array([len(x) // 4 for x in texts])
+                for at in range(0, int(size.max()), BLOCK):  # one step, but for documents longer than a block
+                    rows = np.flatnonzero(size > at)
+                    row, start, n, window, offset = places.pieces(queue[rows], place[rows] + at, np.minimum(size[rows] - at, BLOCK))
+                    row, start = rows[row], start + at
+                    parts = [texts[r][4 * a : 4 * (a + k)] for r, a, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
+                    columns = [pa.array(doc[row]) if not batch.column("doc_id").null_count else batch.column("doc_id").take(pa.array(row)), *map(pa.array, (start, n, np.array([*map(zlib.crc32, parts)], dtype=np.int64), size[row], window, offset))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if with_ids else columns, [*COLUMNS, "ids"] if with_ids else [*COLUMNS])
 
     return run
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, weights: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): a row for each piece of each document.
 
     A document (doc_id, text, source; other columns are ignored) is its ids by the vocabulary at ``path`` and ``end_id``. All
@@ -226,7 +264,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
     more than QUEUES sources, those with fewest rows are mixed to streams first; what one that has run out leaves goes to its
     stream. A null
     source is a source of its own; a null text is empty and gives the end id alone; rows that repeat an id are documents of
-    their own. No rows give no rows.
+    their own. ``with_ids``: whether the column ids is returned. No rows give no rows.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -240,7 +278,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
         docs = docs.withColumn("queue", queue)
     else:
         numbers = spark.createDataFrame([*zip(top, range(len(top)), strict=True)], "name string, queue int")
-        docs = docs.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")))
+        docs = docs.join(F.broadcast(numbers) if len(top) <= OFFSETS else numbers.hint("merge"), F.col("source").eqNullSafe(F.col("name")))
     held = Held(spark, bpe.load(path))
     coded = stash.put(docs.select("doc_id", "text", "queue").mapInArrow(_tokens(held, end_id), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
     sums = coded.groupBy("shard", "queue").agg(F.sum("doc_tokens").alias("n"))
@@ -248,7 +286,8 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
     by_queue = {r[0]: r[1] for r in offsets.groupBy("queue").agg(F.sum("n")).collect()}
     totals = [by_queue.get(k, 0) for k in range(len(top))]
     wish = None if weights is None else [weights.get(x, 0.0) for x in top]
-    plans, paths = plan(totals, wish, window)
+    plans, leaf = plan(totals, wish, window)
     small = F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets.hint("merge")
     placed = coded.join(small, ["shard", "queue"]).select("doc_id", "queue", (F.col("before") + F.col("place")).alias("place"), "ids")
-    return placed.mapInArrow(_cut(plans, paths), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    schema = ", ".join(f"{c} long" for c in COLUMNS) + (", ids binary" if with_ids else "")
+    return placed.mapInArrow(_cut(plans, leaf, with_ids), schema)

@@ -44,7 +44,7 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` in sequences of 4096 ids, mixed in the sources' own proportions."""
-    return packing.packed(documents(spark, sf_dir), vocabulary()).drop("ids")
+    return packing.packed(documents(spark, sf_dir), vocabulary(), with_ids=False)
 
 
 def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,22 @@ def test_bpe_is_the_library(codec, tokenizer, documents):
         assert codec.decode(ids) == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_is_the_librarys(codec, tokenizer):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or 0xE0000 <= c < 0xE0200)]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}a !{chr(c)}! {chr(c)}{chr(c)}" for c in points[k : k + 20_000]]
+        want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+
+
+def test_bpe_forgets_and_begins_anew(codec, tokenizer, documents, monkeypatch):
+    texts = [r[0] or "" for r in documents.select("text").limit(30).collect()]
+    want = codec.encode(texts)
+    for most in (1, 50, 700):
+        monkeypatch.setattr(bpe, "MEMORY", most)
+        assert [codec.encode([x])[0] for x in texts] == want
+
+
 def test_pairs_are_tested_as_merging_would(codec):
     pick = np.random.default_rng(5).choice(codec.hash_tokens, (400, 2))
     fine = codec.compatible(pick[:, 0], pick[:, 1])
@@ -72,6 +88,12 @@ def test_bpe_query_on_odd_rows(odd, empty, tokenizer):
     assert bpe.coded(odd, queries.vocabulary()).where("n_tokens = 0").count() >= 3
 
 
+def runs(places, q, total, start=0):
+    """Pieces of a queue's tokens, as tuples."""
+    _, *found = places.pieces(np.array([q]), np.array([start]), np.array([total]))
+    return [*zip(*(x.tolist() for x in found), strict=True)]
+
+
 def test_packing_of_many_sources():
     pick = random.Random(3)
     totals = [pick.randint(3000, 6000) for _ in range(150)]
@@ -81,7 +103,7 @@ def test_packing_of_many_sources():
         places, filled, by_window = packing.Streams(*packing.plan(totals, wish, 600)), collections.defaultdict(list), collections.defaultdict(collections.Counter)
         for q, total in enumerate(totals):
             done = 0
-            for start, n, window, offset in places.pieces(q, 0, total):
+            for start, n, window, offset in runs(places, q, total):
                 assert start == done and n > 0
                 done += n
                 filled[window].append((offset, n))
@@ -127,6 +149,56 @@ def test_packing_is_whole(odd, empty, tokenizer, weights):
     assert packing.packed(empty, queries.vocabulary()).count() == 0
 
 
+def test_pieces_are_the_librarys_ids(odd, documents, tokenizer, monkeypatch):
+    rows = odd.select("doc_id", "text", "source").unionByName(documents.select("doc_id", "text", "source").limit(60).withColumn("doc_id", F.col("doc_id") + 10**6)).where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r[0]: r[1] for r in rows.select("doc_id", "text").collect()}
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    got = collections.defaultdict(list)
+    for r in packing.packed(rows, queries.vocabulary()).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"], bytes(r["ids"])))
+    assert got.keys() == texts.keys()
+    for i, pieces in got.items():
+        want, at = [*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 2], 0
+        for start, length, total, ids in sorted(pieces):
+            assert start == at and total == len(want) and np.frombuffer(ids, "<u4").tolist() == want[at : at + length]
+            at += length
+        assert at == len(want)
+
+
+def test_small_sources_are_spread_over_all_windows():
+    totals = [3_000_000_000, 900]
+    places = packing.Places(packing.schedule(totals))
+    windows = np.array([w for _, n, w, _ in runs(places, 1, 900)])
+    last = sum(totals) // 4096
+    assert len(windows) == 900 and (np.abs(windows / last - (np.arange(900) + 0.5) / 900) < 0.01).all()
+    # Wherever a reader begins, it finds the same places.
+    whole = [(w, o + k) for _, n, w, o in runs(places, 0, 9_000, 10**9) for k in range(n)]
+    assert whole == [(w, o + k) for a in (0, 1_234, 5_000) for _, n, w, o in runs(places, 0, {0: 1_234, 1_234: 3_766, 5_000: 4_000}[a], 10**9 + a) for k in range(n)]
+
+
+def test_rounds_are_those_of_a_deficit_round_robin():
+    pick = random.Random(8)
+    for _ in range(40):
+        shares, size = [pick.choice([0, 1, 3, 50, 997]) for _ in range(pick.randint(1, 6))], pick.choice([1, 5, 64])
+        if not sum(shares):
+            continue
+        rounds, total = packing.Rounds(shares, size), sum(shares)
+        deficit, sent = [0] * len(shares), []
+        while len(sent) < 300:
+            for q, share in enumerate(shares):
+                deficit[q] += share
+            for q in range(len(shares)):
+                if 2 * deficit[q] >= total:
+                    deficit[q] -= total
+                    sent.append(q)
+        seen = collections.Counter()
+        for at, q in enumerate(sent[:300]):
+            if at % size == 0:
+                assert rounds.before(np.array([at // size]))[0].tolist() == [seen[k] for k in range(len(shares))]
+            assert rounds.place(np.array([q]), np.array([seen[q]]))[0] == at
+            seen[q] += 1
+
+
 def test_schedules_use_up_all_queues():
     pick = random.Random(1)
     for _ in range(60):
@@ -136,7 +208,7 @@ def test_schedules_use_up_all_queues():
             continue
         places, filled = packing.Places(packing.schedule(totals, weights, window)), collections.Counter()
         for q, total in enumerate(totals):
-            for _, n, w, _ in places.pieces(q, 0, total):
+            for _, n, w, _ in runs(places, q, total):
                 filled[w] += n
         assert sum(filled.values()) == sum(totals) and all(n == window for w, n in filled.items() if w != max(filled)) and filled[max(filled)] <= window
 
@@ -145,7 +217,7 @@ def test_windows_keep_the_mixture():
     totals, window = [300_000, 100_000, 50_000], 4096
     places, share = packing.Places(packing.schedule(totals, None, window)), collections.defaultdict(lambda: [0, 0, 0])
     for q, total in enumerate(totals):
-        for _, n, w, _ in places.pieces(q, 0, total):
+        for _, n, w, _ in runs(places, q, total):
             share[w][q] += n
     for w in sorted(share)[:-2]:
         assert all(abs(n - window * t / sum(totals)) < 2 for n, t in zip(share[w], totals, strict=True))
