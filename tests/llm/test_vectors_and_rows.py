@@ -110,12 +110,41 @@ def test_search_on_odd_rows(odd_vectors):
 def test_graph_reaches_what_is_near():
     centres = np.random.default_rng(3).normal(size=(400, 16))
     graph = posting.Graph(centres)
-    near = found = 0
-    for q in np.random.default_rng(4).normal(size=(50, 16)):
-        d = np.sqrt(((centres - q) ** 2).sum(1))
-        want = {*np.flatnonzero(d <= 1.2 * d.min()).tolist()}
-        near, found = near + len(want), found + len(want & {*graph.near(q, 1.2)[0].tolist()})
-    assert found >= 0.97 * near
+    q = np.random.default_rng(4).normal(size=(50, 16))
+    d = np.sqrt(((centres - q[:, None]) ** 2).sum(2))
+    ids, dist = graph.near(q, 24)
+    found = 0
+    for k in range(50):
+        assert len({*ids[k].tolist()}) == 24 and (np.diff(dist[k]) >= 0).all() and dist[k] == pytest.approx(d[k][ids[k]])
+        found += len({*ids[k].tolist()} & {*np.argsort(d[k])[:24].tolist()})
+    assert found >= 0.97 * 24 * 50
+
+
+def test_clusters_are_of_like_size():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, 6000)] + rng.normal(size=(6000, 32)) * 0.2
+    x[:2000] = x[0] + rng.normal(size=(2000, 32)) * 0.01
+    count = np.bincount(posting.nearest_centre(x, centres := posting.fit(x, 60)))
+    assert 40 <= len(centres) <= 90 and count.max() <= 400 and np.median(count) >= 25
+    for odd in (x[:1], np.tile(x[:1], (50, 1)), x[:3]):
+        assert len(posting.fit(odd, 20)) == len(np.unique(odd, axis=0))
+
+
+def test_share_of_vectors_compared():
+    """Recall and work at a size of many lists, on vectors that have clusters."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 24))[rng.integers(0, 2000, 20_000)] + rng.normal(size=(20_000, 24)) * 0.25
+    graph = posting.Graph(posting.fit(x, 160))
+    own = graph.owners(x, posting.CLOSURE, posting.REPLICAS)
+    sizes = np.bincount(own[own >= 0], minlength=len(graph.centres))
+    q = np.arange(0, 20_000, 200)
+    near = ((x[q][:, None] - x) ** 2).sum(2)
+    near[np.arange(len(q)), q] = np.inf
+    hits = work = 0
+    for r, lists in enumerate(graph.visits(x[q], sizes, posting.RATIO, posting.LEAST)):
+        hits += np.isin(own[np.argsort(near[r])[:10]], lists).any(axis=1).sum()
+        work += sizes[lists].sum()
+    assert hits >= 0.95 * 10 * len(q) and work <= 0.3 * len(x) * len(q)
 
 
 def test_repeated_rows_take_no_places(spark):
@@ -128,10 +157,9 @@ def test_repeated_rows_take_no_places(spark):
 
 
 def test_bound_is_over_ids():
-    x = np.arange(1.0, 31.0)[:, None]
-    ids, lists = np.repeat(np.arange(30), 8), np.tile(np.arange(8), 30)
-    found = posting.nearest(np.zeros((1, 1)), np.array([-1]), np.ones((1, 8), dtype=bool), x[ids], ids, lists, 10)
-    assert found[0][1].tolist() == [*range(10)]
+    x = np.repeat(np.arange(1.0, 31.0), 8)[:, None]
+    a, ids, d = posting.nearest(np.zeros((1, 1)), np.array([-1]), x, np.repeat(np.arange(30), 8), 10)
+    assert ids[posting.best(a, ids, d, 10)].tolist() == [*range(10)]
 
 
 def test_query_on_a_centroid_gets_enough_rows():
@@ -144,6 +172,27 @@ def test_query_on_a_centroid_gets_enough_rows():
         assert len(got) == 1 and got[0] == np.argsort(((centres - centres[7]) ** 2).sum(1))[:lists].tolist()
 
 
+def test_copies_crowd_nothing_out(spark):
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    x[100:200] = x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in posting.search(df, df.where("vec_id in (0, 5, 150)"), length=16, least=64).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert [got[0][k] for k in range(1, 11)] == [*range(100, 110)] and [got[150][k] for k in range(1, 11)] == [0, *range(100, 109)]
+    order = [k for k in np.lexsort((np.arange(300), ((x - x[5]) ** 2).sum(1))).tolist() if k != 5][:10]
+    assert len({*got[5].values()} & {*order}) >= 8
+
+
+def test_a_groups_queries_are_split(spark, data, monkeypatch):
+    vectors = queries.embeddings(spark, data)
+    asked = vectors.where("vec_id % 10 = 0")
+    want = sorted(map(tuple, posting.search(vectors, asked).collect()))
+    monkeypatch.setattr(posting, "QUERIES", 7)
+    monkeypatch.setattr(posting, "GROUP", 100)
+    assert sorted(map(tuple, posting.search(vectors, asked).collect())) == want
+
+
 def test_no_centroid_is_left_empty():
     x = np.random.default_rng(5).normal(size=(400, 8)).round(1)
     x[200:] = x[0]
