@@ -12,133 +12,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaestor.llm.bpe import Lookup
 from quaestor.llm.common import Held, as_before, slices, with_rest
 from quaestor.llm.kernel import utf8
 
-#: Training rows for each language (by hash of the id), longest training text in characters, languages, and the order.
-ROWS, LONGEST, LANGUAGES, ORDER = 400, 50_000, 200, 3
+#: Training rows for each language (by hash of the id, whole texts of any length), and the order of the trees.
+ROWS, ORDER = 400, 3
+#: Code lengths that a worker remembers, over all languages; when it has more, it begins anew.
+CELLS = 1 << 22
 UNKNOWN = "und"
+#: Bits of a byte that is not coded at all.
+PLAIN = 8.0
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 
 
+def runs(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text, A-Z lower-cased, the number that it and the ``order`` bytes before it make (spaces before a
+    text's first one); and the n + 1 offsets of the texts."""
+    data, at = utf8(texts)
+    s = _fold[data].astype(np.int64)
+    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
+    out = s.copy()
+    for k in range(1, order + 1):
+        before = np.full(len(s), 32, dtype=np.int64)
+        before[k:] = s[:-k]
+        before[place < k] = 32
+        out |= before << (8 * k)
+    return out, at
+
+
 class Tree:
-    """One language's contexts of up to ``order`` symbols: the code length of each symbol after each longest known context.
+    """One language's contexts of up to ``order`` bytes, from how often each run of order + 1 bytes occurs.
 
-    Symbols are the bytes seen in training, A-Z lower-cased, and one for all others. In a context with n occurrences and u
-    distinct symbols, a symbol seen c times costs -log2(c / (n + u)) and an escape -log2(u / (n + u)); after an escape the
-    shorter context counts only symbols that the longer one did not have.
+    In a context with n occurrences and u distinct bytes, a byte seen c times costs -log2(c / (n + u)) and an escape
+    -log2(u / (n + u)); after an escape the shorter context counts only bytes that the longer one did not have. Bytes never seen
+    at all share what is left alike.
     """
 
-    def __init__(self, texts: list[bytes], symbols: np.ndarray, size: int, order: int = ORDER):
-        self.size, self.order = size, order
-        space = int(symbols[32])
-        lead = np.full(order, space, dtype=np.int64)
-        counts: list[tuple[np.ndarray, np.ndarray]] = []
-        coded = [np.concatenate([lead, symbols[np.frombuffer(t, dtype=np.uint8)]]) for t in texts]
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER):
+        self.order = order
+        self.pairs, self.seen, self.contexts, self.escape, self.open, self.on = [], [], [], [], [], []
         for k in range(order + 1):
-            codes = []
-            for s in coded:
-                code = np.zeros(len(s) - order, dtype=np.int64)
-                for j in range(k + 1):
-                    code = code * size + s[order - k + j : len(s) - k + j]
-                codes.append(code)
-            counts.append(np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True))
-        # Rows of ``cost``, context by context, shorter ones first; ``row`` finds a context's own row or its suffix's.
-        rest = max(1, 256 - (size - 1))
-        seen0 = np.zeros(size, dtype=np.int64)
-        seen0[counts[0][0]] = counts[0][1]
-        left = 256 - int((seen0 > 0).sum())
-        floor = np.full(size, np.log2(max(left, 1)))
-        floor[size - 1] = np.log2(max(left, 1))
-        self.unit = rest
-        table = seen0[None]
-        n, u = table.sum(1), (table > 0).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            after = floor[None]
-            cost = np.where(table > 0, -np.log2(table / (n + u)[:, None]), (-np.log2(u / (n + u)) if n[0] else np.zeros(1))[:, None] + after)
-        costs, tables, afters = [cost], [table], [after]
-        row = np.zeros(1, dtype=np.int64)
-        base = 0
-        for k in range(1, order + 1):
-            codes, c = counts[k]
-            contexts, where = np.unique(codes // size, return_inverse=True)
-            table = np.zeros((len(contexts), size), dtype=np.int64)
-            table[where, codes % size] = c
-            parent = row[contexts % size ** (k - 1)] - base  # the suffix is always known
-            up_table, up_after = tables[-1][parent], afters[-1][parent]
-            open_ = np.where(table > 0, 0, up_table)
-            n_up, u_up = open_.sum(1)[:, None], (open_ > 0).sum(1)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                after = np.where(open_ > 0, -np.log2(open_ / (n_up + u_up)), np.where(u_up > 0, -np.log2(u_up / (n_up + u_up)), 0.0) + up_after)
-                n, u = table.sum(1)[:, None], (table > 0).sum(1)[:, None]
-                cost = np.where(table > 0, -np.log2(table / (n + u)), -np.log2(u / (n + u)) + after)
-            wide = np.repeat(row[None], size, axis=0).reshape(-1)  # the context a b.. has the suffix b..
-            base = sum(map(len, costs))
-            wide[contexts] = base + np.arange(len(contexts))
-            row = wide
-            costs.append(cost)
-            tables.append(table)
-            afters.append(after)
-        self.row, self.cost = row.astype(np.int32), np.concatenate(costs).astype(np.float32).reshape(-1)
-
-    def lengths(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Bits of each symbol after its context (a number of ``order`` symbols)."""
-        return self.cost[self.row[context].astype(np.int64) * self.size + symbol]
+            pairs, where = np.unique(codes & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            seen = np.bincount(where, counts, len(pairs)).astype(np.int64)
+            contexts, own = np.unique(pairs >> 8, return_inverse=True)
+            n, u = np.bincount(own, seen, len(contexts)), np.bincount(own, minlength=len(contexts))
+            if k:
+                # What the shorter context has left when this one's bytes are left out.
+                up = np.searchsorted(self.contexts[-1], contexts & ((1 << 8 * (k - 1)) - 1))
+                taken = np.bincount(own, self.seen[-1][np.searchsorted(self.pairs[-1], pairs & ((1 << 8 * k) - 1))], len(contexts))
+                n_up, u_up = self._n[up] - taken, self._u[up] - u
+                self.open.append(np.log2(np.maximum(n_up + u_up, 1)))
+                self.on.append(np.where(u_up > 0, -np.log2(np.maximum(u_up, 1) / np.maximum(n_up + u_up, 1)), 0.0))
+            else:
+                self.open.append(np.zeros(len(contexts)))
+                self.on.append(np.zeros(len(contexts)))
+            self._n, self._u = n, u
+            self.pairs.append(pairs)
+            self.seen.append(seen)
+            self.contexts.append(contexts)
+            self.escape.append((np.log2(n + u), -np.log2(u / (n + u))))
+        self.floor = float(np.log2(max(256 - len(self.pairs[0]), 1)))
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run after the bytes before it."""
+        out, came = np.zeros(len(codes)), np.full(len(codes), -1)  # came: the longer context that was escaped from
+        going, begun = np.ones(len(codes), dtype=bool), np.zeros(len(codes), dtype=bool)
+        for k in range(self.order, -1, -1):
+            pair, context = codes & ((1 << 8 * (k + 1)) - 1), codes >> 8 & ((1 << 8 * k) - 1)
+            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
+            known = self.contexts[k][at] == context
+            where = np.minimum(np.searchsorted(self.pairs[k], pair), len(self.pairs[k]) - 1)
+            hit = self.pairs[k][where] == pair
+            bits = np.log2(self.seen[k][where])
+            total, escape = self.escape[k]
+            first, later = going & known & ~begun, going & begun
+            out[first] += np.where(hit, total[at] - bits, escape[at])[first]
+            if k < self.order and later.any():
+                out[later] += np.where(hit[later], self.open[k + 1][came[later]] - bits[later], self.on[k + 1][came[later]])
+            begun |= first
+            came = np.where(begun, at, came)
+            going &= ~(begun & hit)
+        out[going] += self.floor
+        return out
 
 
 class Model:
-    def __init__(self, sample: dict[str, list[bytes]], order: int = ORDER):
-        self.langs = sorted(sample)
-        seen = np.zeros(256, dtype=bool)
-        folded = {k: [_fold[np.frombuffer(t, dtype=np.uint8)].tobytes() for t in v] for k, v in sample.items()}
-        for texts in folded.values():
-            for t in texts:
-                seen[np.frombuffer(t, dtype=np.uint8)] = True
-        seen[32] = True
-        symbols = np.full(256, int(seen.sum()), dtype=np.int64)
-        symbols[seen] = np.arange(int(seen.sum()))
-        self.order, self.size = order, int(seen.sum()) + 1
-        self.symbols = symbols[_fold]
-        self.trees = [Tree(folded[k], symbols, self.size, order) for k in self.langs]
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        self.langs, self.order = sorted(counts), order
+        self.trees = [Tree(*counts[k], order) for k in self.langs]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.keys, self.costs = Lookup(np.zeros(0, np.uint64)), np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        """For each run the row of ``costs`` that holds its code lengths."""
+        keys = codes.astype(np.uint64)
+        row = self.known.get(keys)
+        if (row < 0).any():
+            fresh = np.unique(keys[row < 0])
+            if (len(self.keys) + len(fresh)) * len(self.langs) > CELLS:
+                self._forget()
+                fresh = np.unique(keys)
+            self.costs = np.concatenate([self.costs, np.stack([t.lengths(fresh.astype(np.int64)) for t in self.trees], axis=1)])
+            old, self.keys = len(self.keys), np.append(self.keys, fresh)
+            if 2 * len(self.keys) > len(self.known.at):
+                self.known = Lookup(self.keys)
+            else:
+                self.known.put(fresh, np.arange(old, len(self.keys)))
+            row = self.known.get(keys)
+        return row
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Code length of each row under each language; rows begin in a context of spaces."""
-        data, at = utf8(texts)
+        codes, at = runs(texts, self.order)
         out = np.zeros((len(at) - 1, len(self.langs)))
-        if not len(data):
-            return out
-        s = self.symbols[data]
-        context = np.zeros(len(s), dtype=np.int64)
-        space = self.symbols[32]
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        place = np.arange(len(s)) - at[:-1][row]
-        for k in range(self.order, 0, -1):
-            before = np.full(len(s), space)
-            before[k:] = s[:-k]
-            before[place < k] = space
-            context = context * self.size + before
-        full = np.flatnonzero(np.diff(at))
-        for j, tree in enumerate(self.trees):
-            out[full, j] = np.add.reduceat(tree.lengths(context, s).astype(np.float64), at[:-1][full])
+        # A step's bytes times languages are bounded; a text may take several steps.
+        step = max(1024, (1 << 22) // len(self.langs))
+        for a in range(0, len(codes), step):
+            b = min(a + step, len(codes))
+            row = self._rows(codes[a:b])
+            cost = self.costs[row]
+            first, last = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, b, side="left")
+            starts = np.maximum(at[first:last], a)
+            some = np.flatnonzero(np.minimum(at[first + 1 : last + 1], b) > starts)
+            out[first + some] += np.add.reduceat(cost, starts[some] - a, axis=0)
         return out
 
 
-def sample(labelled: DataFrame, rows: int = ROWS) -> dict[str, list[bytes]]:
-    """Texts of about ``rows`` rows for each language of ``labelled`` (doc_id, text, lang), chosen by hash of the id."""
-    fine = labelled.where("lang is not null and text is not null and text != ''").where(F.char_length("text") <= LONGEST)
-    counts = fine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    rates = {r[0]: min(1.0, rows / r[1]) for r in counts}
-    if not rates:
+def _counted(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of this partition's texts, by language."""
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                langs = batch.column("lang").dictionary_encode()
+                codes, at = runs(batch.column("text"), order)
+                row = np.repeat(np.asarray(langs.indices), np.diff(at))
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    code, n = np.unique(codes[row == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
+
+    return run
+
+
+def learnt(labelled: DataFrame, rows: int = ROWS, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language of ``labelled`` (doc_id, text, lang) the runs of order + 1 bytes of about ``rows`` whole texts, chosen by
+    hash of the id, and how often each occurs. Texts are counted where they are; the driver gets a row for each distinct run."""
+    fine = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and text != ''")
+    counts = fine.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
         return {}
-    rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang"))
-    chosen = fine.where(F.col("lang").isin(*rates)).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 20)) < rate * (1 << 20))
-    out: dict[str, list[bytes]] = {k: [] for k in rates}
-    # Twice the wanted rows at most, whatever the hashes.
-    for lang, text in sorted(map(tuple, chosen.select("lang", "text").limit(2 * rows * len(rates)).collect())):
-        out[lang].append(text.encode("utf-8"))
-    return {k: v for k, v in out.items() if v}
+    rates = labelled.sparkSession.createDataFrame([(r[0], min(1.0, rows / r[1])) for r in counts], "name string, rate double")
+    chosen = fine.join(F.broadcast(rates), F.col("lang") == F.col("name")).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    table = chosen.select("lang", "text").mapInArrow(_counted(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")]).combine_chunks()
+    out = {}
+    for lang in pc.unique(table["lang"]).to_pylist():
+        own = table.filter(pc.equal(table["lang"], lang))
+        out[lang] = (np.asarray(own["code"]), np.asarray(own["n"]))
+    return out
 
 
 def predicted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int = ORDER) -> DataFrame:
@@ -154,17 +188,21 @@ def predicted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
 
 
 def accepted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int = ORDER) -> DataFrame:
-    """The rows of ``docs`` whose language can be told (not ``und``), with their columns; a null ``lang`` becomes the prediction."""
+    """The rows of ``docs`` whose language can be told, with their columns; a null ``lang`` becomes the prediction.
+
+    It can't be told of a text without a letter, nor of one whose shortest code is no shorter than its plain bytes (PLAIN bits
+    each): no tree has learnt anything like it. Where nothing could be learnt, no row stays.
+    """
     held = with_rest(docs)
     schema = T.StructType([held.schema["text"], held.schema["rest"]]).add("lang_pred", "string").add("score", "double").add("bits", "double")
-    out = held.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["text", "rest"]), schema).where(F.col("lang_pred") != UNKNOWN)
+    out = held.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["text", "rest"]), schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < PLAIN))
     back = as_before(out.withColumn("rest", F.col("rest").withField("lang", F.coalesce("rest.lang", "lang_pred"))) if "lang" in docs.columns else out, docs)
     return back
 
 
 def _predictor(docs: DataFrame, training: DataFrame, rows: int, order: int, keep: list[str]):
     spark = docs.sparkSession
-    found = sample(training, rows)
+    found = learnt(training, rows, order)
     held = Held(spark, (found, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,14 +258,73 @@ def test_scores_on_odd_rows(odd, empty):
     assert interpolation.scored(odd, F.lit(False), F.lit(False)).where("n_known = 0").count() == odd.count()
 
 
+def counted(texts):
+    codes, _ = langid.runs(pa.array(texts, pa.string()))
+    return np.unique(codes, return_counts=True)
+
+
+def plain_ppm(training, text, order=3):
+    """Code length of ``text`` by dictionaries: escapes, exclusion, contexts never met passed over."""
+    low = lambda t: b" " * order + bytes(_b + 32 if 65 <= _b <= 90 else _b for _b in t.encode())
+    trees = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in map(low, training):
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                trees[k][t[i - k : i]][t[i]] += 1
+    bits, t = 0.0, low(text)
+    for i in range(order, len(t)):
+        out, p = set(), 1.0
+        for k in range(order, -1, -1):
+            if t[i - k : i] not in trees[k]:
+                continue
+            left = {b: n for b, n in trees[k][t[i - k : i]].items() if b not in out}
+            if not left:
+                continue
+            total = sum(left.values()) + len(left)
+            if t[i] in left:
+                p *= left[t[i]] / total
+                break
+            p *= len(left) / total
+            out |= left.keys()
+        else:
+            p /= 256 - len(out)
+        bits -= math.log2(p)
+    return bits
+
+
+def test_code_lengths_are_those_of_plain_matching(monkeypatch):
+    training = {"a": ["abracadabra abra", "Cadabra", "é"], "b": ["lorem ipsum dolor", "lorem lorem"]}
+    texts = ["abra", "cadabra LOREM", "zzz", "日本", "", "ipsum é", "a b c d " * 20]
+    model = langid.Model({k: counted(v) for k, v in training.items()})
+    for _ in range(2):
+        got = model.bits(pa.array(texts, pa.string()))
+        for r, text in enumerate(texts):
+            assert got[r].tolist() == pytest.approx([plain_ppm(training[k], text) for k in "ab"])
+        monkeypatch.setattr(langid, "CELLS", 10)  # a worker that forgets
+        model._forget()
+
+
 def test_code_lengths_are_those_of_a_distribution():
-    model = langid.Model({"a": [b"abracadabra abra", b"cadabra"], "b": [b"lorem ipsum dolor"]})
-    for tree in model.trees:
-        rows = tree.cost.reshape(-1, tree.size).astype(float)
-        others = 256 - (tree.size - 1)
-        # All seen bytes, and the others one by one, have probabilities that sum to one.
-        total = np.exp2(-rows[:, :-1]).sum(1) + others * np.exp2(-rows[:, -1])
-        assert total.max() <= 1 + 1e-5
+    for texts in (["abracadabra abra", "cadabra"], ["lorem ipsum dolor"]):
+        tree = langid.Tree(*counted(texts))
+        for k, contexts in enumerate(tree.contexts):
+            for context in contexts.tolist():
+                total = np.exp2(-tree.lengths((context << 8) | np.arange(256) | (0 if k == 3 else 0x01 << 8 * (k + 1)))).sum()
+                assert 0.2 < total <= 1 + 1e-9
+
+
+def test_many_languages_and_long_texts(spark):
+    rows = [(k, f"w{k:03d} " * 20, f"l{k:03d}") for k in range(260)] + [(1000, "qqzz " * 30_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predicted(df, df).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_language_stage_rejects_what_no_tree_knows(spark, documents):
+    df = spark.createDataFrame([(1, "日本語のテキストです。これは別の言語です。" * 5, None), (2, "123 456", None)], "doc_id long, text string, lang string")
+    assert langid.accepted(df, documents).count() == 0
+    clean = documents.where(F.col("text").rlike(r"\p{L}"))
+    assert langid.accepted(clean, documents).count() == clean.count()
 
 
 def test_language_of_held_out_documents(documents):
