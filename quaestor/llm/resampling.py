@@ -16,8 +16,12 @@ from quaestor.llm.kernel import U, utf8, word_hashes
 
 #: Buckets of the hashed n-grams; lengths of the byte n-grams; labelled rows that the target model is fitted on, at most.
 BUCKETS, LENGTHS, LABELLED = 1 << 16, (2, 3, 4), 20_000
+#: Buckets of their own for whether a word repeats the one before, the one before that, both or none: generated spam does.
+PATTERNS = 4
 CHUNK = 1024
-#: How many kept bad documents weigh as much as one lost good one (both as shares), and the allowance below the cut for the draw's noise.
+SIZE = BUCKETS + CHUNK
+#: How many kept bad documents weigh as much as one lost good one (both as shares): a lost one can't be got back. The allowance
+#: below the border for the draw's noise: Gumbel noise is below -3 once in 5e8 rows.
 DEAR, ALLOWANCE = 20.0, 3.0
 
 
@@ -42,7 +46,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         same = (words[2:] == words[1:-1]) * 2 + (words[2:] == words[:-2])
         inside = own[2:] == own[:-2]
-        buckets.append(BUCKETS - 4 + same[inside])
+        buckets.append(BUCKETS + same[inside])
         rows.append(own[2:][inside])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *buckets]), np.concatenate([none, *rows])
@@ -50,16 +54,16 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk of buckets a row with the counts of this partition: of all rows, and of the target rows."""
-    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    raw, target = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=np.int64)
     for whole in batches:
         for batch in slices(whole, "text", 1 << 19):
             b, row = grams(batch.column("text"))
-            raw += np.bincount(b, minlength=BUCKETS)
+            raw += np.bincount(b, minlength=SIZE)
             good = np.asarray(batch.column("quality").fill_null(0)) == 1
             if good.any():
-                target += np.bincount(b[good[row]], minlength=BUCKETS)
+                target += np.bincount(b[good[row]], minlength=SIZE)
     if raw.any():
-        for c in range(0, BUCKETS, CHUNK):
+        for c in range(0, SIZE, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([raw[c : c + CHUNK].tobytes()]), pa.array([target[c : c + CHUNK].tobytes()])], ["chunk", "raw", "target"])
 
 
@@ -111,7 +115,7 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     (1), of LABELLED labelled rows chosen by hash. ``log_weight``: log of the text's probability under the target model over
     that under the raw model. ``key``: log_weight plus Gumbel noise from a hash of the id; the ``k`` rows with the largest keys
     are kept, ties with the last as well. ``k`` defaults to the number of rows whose weight is at least ``border``'s between
-    good and bad labelled rows, less ALLOWANCE. A null or empty text has weight 0. Without good labels, and for k
+    good and bad labelled rows (those that the model was fitted on), less ALLOWANCE. A null or empty text has weight 0. Without good labels, and for k
     above the number of rows, all are kept. Labels that contradict each other count as not good. Rows that repeat an id each
     have a row; no rows give no rows.
     """
@@ -152,10 +156,10 @@ def _keyed(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tupl
     count = clean.count()
     chosen = clean.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < int(min(1.0, LABELLED / max(count, 1)) * (1 << 20))).limit(2 * LABELLED).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for c, r, t in rows.mapInArrow(_counted, "chunk int, raw binary, target binary").groupBy("chunk").applyInArrow(_summed, "chunk int, raw binary, target binary").collect():  # BUCKETS / CHUNK rows
+    raw, target = np.zeros(SIZE), np.zeros(SIZE)
+    for c, r, t in rows.mapInArrow(_counted, "chunk int, raw binary, target binary").groupBy("chunk").applyInArrow(_summed, "chunk int, raw binary, target binary").collect():  # SIZE / CHUNK rows
         raw[c : c + CHUNK], target[c : c + CHUNK] = np.frombuffer(r, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.any() else np.zeros(BUCKETS)
+    ratio = np.log((target + 1) / (target.sum() + BUCKETS + PATTERNS)) - np.log((raw + 1) / (raw.sum() + BUCKETS + PATTERNS)) if target.any() else np.zeros(SIZE)
     weighed = stash.put(rows.mapInArrow(_weighed(Held(spark, ratio)), "doc_id long, quality int, n_grams long, log_weight double"))
     keyed = weighed.withColumn("key", _key(seed))
     if k is None:
