@@ -33,6 +33,9 @@ ROUNDS = 60
 BEGIN, END = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)  # the context of a text's first token; the token that ends a text
 
 
+DIFFERS = "a shard's documents differ between two readings; the input must be deterministic"
+
+
 class Shard:
     """The keys of a run of documents: sorted distinct words (with the end token and the begin context) and word pairs."""
 
@@ -74,15 +77,25 @@ class Shard:
         return np.append(np.searchsorted(keys, edges), len(keys))
 
     def place(self, kind: int, answers: list[tuple[int, np.ndarray]], buckets: int) -> np.ndarray:
-        """Buckets' answers (columns) in the order of the shard's own keys."""
+        """Buckets' answers (columns) in the order of the shard's own keys; there must be one for each bucket with keys."""
         border = self.borders(kind, buckets)
+        if sorted(b for b, _ in answers) != [b for b in range(buckets) if border[b + 1] > border[b]]:
+            raise RuntimeError(DIFFERS)
         out = np.zeros((2, len(self.orders[kind])), dtype=np.int64)
         for b, table in answers:
             if table.shape[1] != border[b + 1] - border[b]:
-                raise RuntimeError("a shard's documents differ between two readings; the input must be deterministic")
+                raise RuntimeError(DIFFERS)
             out[:, self.orders[kind][border[b] : border[b + 1]]] = table
         return out
 
+    def digest(self) -> int:
+        """A number that tells the shard's keys and their counts from others'."""
+        a, b = 0, 1
+        for kind, keys in enumerate((self.words, self.pairs)):
+            for x in (keys, *self.counts[kind]):
+                a, b = zlib.crc32(x, a), zlib.adler32(x, b)
+        return a | b << 31
+
 
 def packed_counts(x: np.ndarray) -> bytes:
     """Non-negative integers in the narrowest of three widths."""
@@ -129,14 +142,15 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
 def _sent(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _, own in _shards(batches, size):
+            digest = own.digest()
             for kind, keys in enumerate((own.words, own.pairs)):
                 order, border = own.orders[kind], own.borders(kind, buckets)
                 keys, (learn, kept) = keys[order], own.counts[kind]
                 learn, kept = learn[order], kept[order]
                 some = [b for b in range(buckets) if border[b + 1] > border[b]]
                 parts = [slice(border[b], border[b + 1]) for b in some]
-                columns = [some, [kind] * len(some), [shard] * len(some), *([f(x) for x in parts] for f in (lambda x: packed_keys(keys[x]), lambda x: packed_counts(learn[x]), lambda x: packed_counts(learn[x] - kept[x])))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "shard", "keys", "learn", "deleted"])
+                columns = [some, [kind] * len(some), [shard] * len(some), [digest] * len(some), *([f(x) for x in parts] for f in (lambda x: packed_keys(keys[x]), lambda x: packed_counts(learn[x]), lambda x: packed_counts(learn[x] - kept[x])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "shard", "digest", "keys", "learn", "deleted"])
 
     return run
 
@@ -144,7 +158,7 @@ def _sent(size: int, buckets: int):
 def _answered(table: pa.Table) -> pa.Table:
     """Adds up a bucket's counts. Answers each shard with the totals of its keys; shard -1 gets the bucket's own totals."""
     bucket, kind = table["bucket"][0].as_py(), table["kind"][0].as_py()
-    shards = table["shard"].to_pylist()
+    shards, digests = table["shard"].to_pylist(), table["digest"].to_pylist()
     keys = [unpacked_keys(x) for x in table["keys"].to_pylist()]
     ends = np.cumsum([0, *map(len, keys)])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -153,8 +167,8 @@ def _answered(table: pa.Table) -> pa.Table:
     token = distinct != BEGIN if kind == 0 else np.zeros(len(distinct), bool)
     known, left = (learn > 0) & token, (learn > deleted) & token
     sums = np.array([learn[token].sum(), known.sum(), (learn - deleted)[token].sum(), left.sum()], dtype=np.int64)
-    rows = [(bucket, kind, -1, sums.tobytes(), b"")] + [(bucket, kind, s, packed_counts(learn[place[a:b]]), packed_counts(deleted[place[a:b]])) for s, a, b in zip(shards, ends[:-1], ends[1:], strict=True)]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "shard", "learn", "deleted"])
+    rows = [(bucket, kind, -1, 0, sums.tobytes(), b"")] + [(bucket, kind, s, x, packed_counts(learn[place[a:b]]), packed_counts(deleted[place[a:b]])) for s, x, a, b in zip(shards, digests, ends[:-1], ends[1:], strict=True)]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "shard", "digest", "learn", "deleted"])
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -239,17 +253,20 @@ def _met(buckets: int, kept_tokens: int):
 
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         tally, body = np.zeros((0, 4), dtype=np.int64), []
-        if documents.num_rows:
-            ids, learn, deleted, own = _opened(documents["body"][0].as_py())
-            got = _Answers(own, _rows(answers), buckets)
-            use = (learn & deleted)[own.document]
-            if use.any():
-                words, pairs = got.words[0] - got.words[1], got.pairs[0] - got.pairs[1]
-                c12, c1, c2 = pairs[own.pair[use]], words[own.context[use]], words[own.word[use]]
-                key = (level(c1) * (FLOOR * GRID + 1) + _grid(c12 / np.maximum(c1, 1))) * (FLOOR * GRID + 1) + _grid(c2 / max(kept_tokens, 1))
-                key, n = np.unique(key, return_counts=True)
-                tally = np.stack([key // (FLOOR * GRID + 1) ** 2, key // (FLOOR * GRID + 1) % (FLOOR * GRID + 1), key % (FLOOR * GRID + 1), n], axis=1)
-            body = [pickle.dumps((ids, learn, own.sizes, int(got.words[0][own.begin]), _wide(got.words[0][own.word]), _wide(got.pairs[0][own.pair])))]
+        if not documents.num_rows:
+            raise RuntimeError(DIFFERS)  # the second reading has lost a shard
+        ids, learn, deleted, own = _opened(documents["body"][0].as_py())
+        if {*answers["digest"].to_pylist()} != {own.digest()}:
+            raise RuntimeError(DIFFERS)
+        got = _Answers(own, _rows(answers), buckets)
+        use = (learn & deleted)[own.document]
+        if use.any():
+            words, pairs = got.words[0] - got.words[1], got.pairs[0] - got.pairs[1]
+            c12, c1, c2 = pairs[own.pair[use]], words[own.context[use]], words[own.word[use]]
+            key = (level(c1) * (FLOOR * GRID + 1) + _grid(c12 / np.maximum(c1, 1))) * (FLOOR * GRID + 1) + _grid(c2 / max(kept_tokens, 1))
+            key, n = np.unique(key, return_counts=True)
+            tally = np.stack([key // (FLOOR * GRID + 1) ** 2, key // (FLOOR * GRID + 1) % (FLOOR * GRID + 1), key % (FLOOR * GRID + 1), n], axis=1)
+        body = [pickle.dumps((ids, learn, own.sizes, int(got.words[0][own.begin]), _wide(got.words[0][own.word]), _wide(got.pairs[0][own.pair])))]
         columns = [pa.array([*tally[:, k].tolist(), *[None] * len(body)], pa.int64()) for k in range(4)]
         return pa.table([*columns, pa.array([None] * len(tally) + body, pa.binary())], names=["level", "pair", "word", "n", "body"])
 
@@ -292,14 +309,15 @@ def scored(docs: DataFrame, learn, deleted, size: int = SHARD) -> DataFrame:
     of them that are ``deleted`` are held out from the counts. Tokens are the words and one end a text; the estimates are of a
     word after the word before it, of a word, and uniform over the V known words and one unknown. A null text is empty; rows
     that repeat an id each have a row. Where nothing can be learnt, all tokens are unknown. No rows give no rows. ``docs`` must
-    give the same rows in the same partitions when read again; a shard that differs is an error.
+    give the same rows in the same partitions when read again; a shard that differs is an error. Words and pairs are told apart by
+    64-bit hashes, n_known among them.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
     buckets = 2 * partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), learn.alias("learn"), deleted.alias("deleted"))
-    sent = rows.mapInArrow(_sent(size, buckets), "bucket int, kind int, shard long, keys binary, learn binary, deleted binary")
-    answers = stash.put(sent.groupBy("bucket", "kind").applyInArrow(_answered, "bucket int, kind int, shard long, learn binary, deleted binary"))
+    sent = rows.mapInArrow(_sent(size, buckets), "bucket int, kind int, shard long, digest long, keys binary, learn binary, deleted binary")
+    answers = stash.put(sent.groupBy("bucket", "kind").applyInArrow(_answered, "bucket int, kind int, shard long, digest long, learn binary, deleted binary"))
     sums = np.zeros(4, dtype=np.int64)
     for row in answers.where("shard = -1 and kind = 0").select("learn").collect():  # 32 bytes a bucket
         sums += np.frombuffer(row[0], dtype=np.int64)
