@@ -42,13 +42,14 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     host, path = parts(F.col("url"))
     rules = rules.select("verdict", lowered("host").alias("r_host"), F.col("path").alias("r_path")).where("r_host is not null and r_path is not null and verdict is not null").distinct()
     rules = rules.withColumn("digest", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256)).withColumn("short", F.substring("digest", 1, SHORT))
-    # Path prefixes are those of the lengths that rules have.
+    # Host suffixes are those of as many labels as rules have, and path prefixes those of the rules' lengths.
+    depths = [r[0] for r in rules.select(F.size(F.split("r_host", r"\.", -1)).alias("n")).distinct().orderBy("n").collect()]
     lengths = [r[0] for r in rules.select(F.char_length("r_path").alias("n")).distinct().orderBy("n").collect()]
     count = rules.count() if lengths else 0
     once = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("copies"))
     once = once.select("page_id", "url", "copies", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
+    suffixes = F.filter(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in depths]), lambda h: h.isNotNull()) if depths else F.array().cast("array<string>")
     prefixes = F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.struct(h.alias("h"), p.alias("p")))))
     wide = once.where("host != ''").select("page_id", "url", F.explode(expressions).alias("x")).withColumn("full", F.sha2(F.concat_ws("\n", "x.h", "x.p"), 256)).withColumn("short", F.substring("full", 1, SHORT))
