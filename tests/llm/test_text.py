@@ -243,6 +243,30 @@ def test_scores_against_brute_force(documents):
             held[0] += r["base_score"]
             held[1] += r["score"]
     assert held[1] > held[0]
+    # The model plainly: counts without the deleted fold give the estimates that expectation-maximisation weighs.
+    kept, kept_pairs = collections.Counter(), collections.Counter()
+    for i, t in tokens.items():
+        if part(i) not in (1, 4):
+            kept.update(t)
+            kept_pairs.update(zip(["\1", *t[:-1]], t, strict=True))
+    begun, kept_begun = sum(part(i) != 1 for i in tokens), sum(part(i) not in (1, 4) for i in tokens)
+    before = lambda c, w, n: n if w == "\1" else c[w]
+    size, kept_n, kept_v = interpolation.FLOOR * interpolation.GRID + 1, sum(kept.values()), len(kept)
+    tally = collections.Counter()
+    for i, t in tokens.items():
+        if part(i) == 4:
+            for a, b in zip(["\1", *t[:-1]], t, strict=True):
+                c1 = before(kept, a, kept_begun)
+                grid = lambda p: size - 1 if not p else min(round(-math.log2(max(p, 2.0**-interpolation.FLOOR)) * interpolation.GRID), size - 2)
+                tally[0 if not c1 else min(int(math.log2(c1)) + 1, interpolation.LEVELS - 1), grid(kept_pairs[a, b] / max(c1, 1)), grid(kept[b] / kept_n)] += 1
+    weights = interpolation.learn_weights(np.array([(*k, c) for k, c in sorted(tally.items())]), kept_v)
+    for i, t in tokens.items():
+        want = 0.0
+        for a, b in zip(["\1", *t[:-1]], t, strict=True):
+            c1 = before(count, a, begun)
+            w = weights[0 if not c1 else min(int(math.log2(c1)) + 1, interpolation.LEVELS - 1)]
+            want += math.log10(w[0] * (pairs[a, b] / c1 if c1 else 0) + w[1] * count[b] / n + w[2] / (v + 1))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
 
 
 def test_weights_sum_to_one_and_learn():
@@ -347,6 +371,32 @@ def test_resampling_keeps_good_documents(documents, spark, data):
     assert by[1] >= 0.95 and by[0] <= 0.7
 
 
+def test_weights_against_brute_force(documents, spark, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = {r["doc_id"]: r for r in resampling.resampled(documents, labels).collect()}
+    bad = {r["doc_id"] for r in labels.collect() if r["quality"] != 1}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1} - bad
+    own = {r[0]: resampling.grams(pa.array([r[1]], pa.string()))[0].tolist() for r in documents.select("doc_id", "text").collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in own.items():
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    kinds = resampling.BUCKETS + 4
+    for i, g in own.items():
+        want = sum(math.log((target[b] + 1) / (sum(target.values()) + kinds) / ((raw[b] + 1) / (sum(raw.values()) + kinds))) * n for b, n in collections.Counter(g).items())
+        assert got[i]["log_weight"] == pytest.approx(want, abs=1e-6) and got[i]["n_grams"] == len(g)
+
+
+def test_grams_of_a_text():
+    text = "abc abc x abc"
+    b, row = resampling.grams(pa.array([text, None, "a"], pa.string()))
+    assert len(b) == sum(len(text) - n + 1 for n in resampling.LENGTHS) + 2 and set(row.tolist()) == {0}
+    same = collections.Counter(b.tolist())
+    pieces = [collections.Counter(text[k : k + n] for k in range(len(text) - n + 1)) for n in resampling.LENGTHS]
+    assert sorted(same.values()) == sorted([*(n for p in pieces for n in p.values()), 1, 1])
+
+
 def test_exactly_k_are_drawn(documents, spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     got = resampling.resampled(documents, labels, k=37).collect()
