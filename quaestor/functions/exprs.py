@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks, and the letters they become.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Letters that Unicode decomposes to a letter and marks (U+0300 to U+036F), and that letter.
+_split = [(chr(c), d[0]) for c in range(0xC0, 0xD800) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and all("\u0300" <= m <= "\u036f" for m in d[1:])]
+MARKED, PLAIN = ("".join(x) for x in zip(*_split, strict=True))
 # The type suffixes of coded names.
 SUFFIXES = "B|X|1Y|1M|1W|1D|1H|1U|1|2K|2T|2L|2S|2|Z|A|SRC"
 Z95 = 1.959963984540054
@@ -103,8 +105,8 @@ def code_type(c: Column) -> Column:
 
 
 def unmarked(c: Column) -> Column:
-    """Letters without their marks."""
-    return F.translate(c, MARKED, PLAIN)
+    """Letters without their marks, composed or decomposed."""
+    return F.regexp_replace(F.translate(c, MARKED, PLAIN), "[\u0300-\u036f]", "")
 
 
 def sanitized(c: Column) -> Column:

@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from quaestor.functions.exprs import col, number
 
 # Columns that collection tools add, and patterns of names that carry no answer.
-META_COLUMNS = ("_id", "formhub/uuid", "__version__", "_version_", "meta/instanceID", "meta/instanceName", "meta/rootUuid", "_xform_id_string", "_uuid", "_attachments", "_status", "_bamboo_dataset_id", "_tags", "_notes", "_submitted_by", "_validation_status")
+META_COLUMNS = (
+    "_id", "_uuid", "_submission_time", "_validation_status", "_notes", "_status", "_submitted_by", "__version__", "_tags", "meta/rootUuid", "_index", "_parent_table_name", "_parent_index", "formhub/uuid",
+    "_submission__id", "_submission__uuid", "_submission__submission_time", "_submission__validation_status", "_submission__notes", "_submission__status", "_submission__submitted_by", "_submission___version__", "_submission__tags", "_submission_meta/rootUuid",
+)
 DROPPED = re.compile(r"^si autre|altitude|precision|précision|^(?=.*g[ée]olocalisation)(?!.*(?:latitude|longitude))", re.IGNORECASE)
 
 

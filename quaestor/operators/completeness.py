@@ -194,6 +194,56 @@ def active_forms(forms: DataFrame) -> DataFrame:
     return forms.where("active").orderBy("position")
 
 
+GRAINS = ("etablissement", "district")
+# Who collects a form, and the kinds of target rules.
+ACTORS = ("enqueteur", "superviseur")
+RULES = ("fixed_per_etablissement", "etab_field_positive", "by_etablissement_type", "fixed_per_district", "floor_sum_district_field")
+
+
+def with_form(forms: DataFrame, code: str, label: str, hint: str, grain: str, rule: str, n: int | None = None, actor: str = "enqueteur") -> DataFrame:
+    """The registry with a new, active form at its end; a code that is empty or taken, or an unknown grain, actor or rule, is an error."""
+    if not code or not code.strip():
+        raise ValueError("a form needs a code")
+    for what, value, known in (("grain", grain, GRAINS), ("actor", actor, ACTORS), ("rule", rule, RULES)):
+        if value not in known:
+            raise ValueError(f"unknown {what}: {value}")
+    if forms.where(F.col("form") == code.strip()).head(1):
+        raise ValueError(f"form {code} exists")
+    last = forms.agg(F.max("position")).first()[0] or 0
+    new = {"form": code.strip(), "label": label, "hint": hint, "grain": grain, "rule": rule, "n": n, "position": last + 1, "active": True, "actor": actor}
+    return forms.unionByName(forms.sparkSession.createDataFrame([tuple(new.get(c) for c in forms.columns)], forms.schema))
+
+
+def set_active(forms: DataFrame, code: str, active: bool) -> DataFrame:
+    """The registry with one form switched on or off; an unknown code changes nothing."""
+    return forms.withColumn("active", F.when(F.col("form") == code, F.lit(active)).otherwise(F.col("active")))
+
+
+def without_form(forms: DataFrame, code: str) -> DataFrame:
+    return forms.where(F.col("form") != code)
+
+
+def deactivated(assets: DataFrame, mapping: DataFrame, forms: DataFrame) -> DataFrame:
+    """(uid, form): assets that stand for a form that is switched off, by the mapping, else by the first hint in their names."""
+    low = assets.select("uid", F.lower("name").alias("low"))
+    hints = forms.where("hint != ''").select(F.col("form").alias("hinted"), F.lower("hint").alias("h"), "position")
+    by_name = low.join(hints, F.expr("contains(low, h)")).groupBy("uid").agg(F.min_by("hinted", "position").alias("hinted"))
+    by_map = mapping.groupBy("uid").agg(F.min("form").alias("mapped"))
+    found = assets.select("uid").distinct().join(by_map, "uid", "left").join(by_name, "uid", "left").select("uid", F.coalesce("mapped", "hinted").alias("form"))
+    return found.join(forms.where("not active").select("form"), "form", "left_semi").select("uid", "form")
+
+
+def form_completeness(form: str, forms: DataFrame, units: DataFrame, districts: DataFrame, counted: DataFrame, floors: DataFrame) -> DataFrame:
+    """The cells of one form, of units or of districts by its grain; an unknown form is an error."""
+    grain = next((r[0] for r in forms.where(F.col("form") == form).select("grain").head(1)), None)
+    if grain is None:
+        raise ValueError(f"unknown form: {form}")
+    own, rows = forms.where(F.col("form") == form), counted.where(F.col("form") == form)
+    if grain == "district":
+        return district_completeness(districts, rows, district_targets(districts, units, own), floors)
+    return unit_completeness(units, rows, unit_targets(units, own))
+
+
 def guessed(assets: DataFrame, forms: DataFrame) -> DataFrame:
     """(uid, form): the first active form whose hint occurs in the asset's name, whatever the case; null if none."""
     hits = assets.select("uid", F.lower("name").alias("low")).join(forms.where("active").select("form", F.lower("hint").alias("h"), "position"), F.expr("contains(low, h)"))

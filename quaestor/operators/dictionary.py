@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.exprs import Z95, col, number, wilson
 from quaestor.operators import inference
+from quaestor.operators.quantiles import of_variables
 from quaestor.operators.surveys import stat_key
 
 SUFFIX = re.compile(r"__(\d[A-Za-z]{0,2}|[A-Za-z]{1,2})\Z")
@@ -17,13 +18,26 @@ SUFFIX = re.compile(r"__(\d[A-Za-z]{0,2}|[A-Za-z]{1,2})\Z")
 CARDINALITY = {"B": 2, "C": 3}
 # Question types that hold no answer.
 TECHNICAL = ("image", "audio", "video", "file", "barcode", "acknowledge", "hidden", "start", "end", "today", "deviceid", "username", "phonenumber", "audit", "note", "begin_group", "end_group", "begin_repeat", "end_repeat")
-#: Treatment of a variable by its statistical key, else by its question type.
+# Recommended treatment of a variable by its statistical key, else by its question type.
 TREATMENTS = {
-    "B": "Fréquences (proportion, IC95%)", "C": "Fréquences par modalité (IC95%)", "X_one": "Fréquences par modalité (IC95%)", "X_multi": "Proportion de oui par item (IC95%), score composite possible",
-    "period": "Moyenne ou médiane selon normalité", "I": "Moyenne ou médiane selon normalité", "A": "Non analysé directement (date)", "Z": "Exclu (texte libre)", "E": "Exclu (identifiant)",
-    "select_one": "Fréquences par modalité (IC95%)", "select_multiple": "Proportion de oui par item (IC95%)", "integer": "Moyenne ou médiane selon normalité", "decimal": "Moyenne ou médiane selon normalité", "range": "Moyenne ou médiane selon normalité",
-    "date": "Non analysé directement (date)", "dateTime": "Non analysé directement (date)", "time": "Non analysé directement (date)", "text": "Exclu (texte libre)", "calculate": "À valider (champ calculé)", "geopoint": "Exclu (cartographie)", "geotrace": "Exclu (cartographie)", "geoshape": "Exclu (cartographie)",
-}
+    "B": "Proportion (%) + IC95% (Wilson) — bivarié : χ² ou Fisher exact (effectifs <5) — multivarié : régression logistique",
+    "C": "Proportions par modalité + IC95% — bivarié : χ² ou Fisher exact — multivarié : régression logistique (après regroupement binaire si besoin)",
+    "X_one": "Fréquences par modalité (%) + IC95% — bivarié : χ² ou Fisher exact — multivarié : régression logistique (modalité de référence) ou multinomiale",
+    "X_multi": "Proportion « oui » par item (%) + IC95% — bivarié : test par item (χ²/Fisher) — envisager un score composite (numérateur/dénominateur) — multivarié : régression logistique par item ou sur le score composite",
+    "period": "Moyenne ± écart-type OU médiane [IQR] selon normalité (Shapiro-Wilk) — bivarié : t-test/Mann-Whitney (2 groupes), ANOVA/Kruskal-Wallis (>2 groupes) — multivarié : régression linéaire (ou log-linéaire si distribution asymétrique)",
+    "A": "Non analysé directement comme continu — dérive un délai/une durée si pertinent, sinon utilisé pour stratification temporelle uniquement",
+    "Z": "Exclu de l'analyse quantitative (texte libre, identifiant technique ou verbatim)",
+    "E": "Exclu de l'analyse quantitative (identifiant) — sauf usage en stratification qualité",
+    "I": "Moyenne ± écart-type ou médiane [IQR] (comme continu) — bivarié : t-test/Mann-Whitney ou ANOVA/Kruskal-Wallis — multivarié : régression linéaire",
+    "select_one": "Fréquences par modalité (%) + IC95% (Wilson) — bivarié : χ²/Fisher — multivarié : régression logistique",
+    "select_multiple": "Proportion « oui » par item (%) + IC95% — envisager un score composite — multivarié : régression logistique par item",
+    **dict.fromkeys(("integer", "decimal", "range"), "Moyenne ± écart-type OU médiane [IQR] selon normalité — t-test/Mann-Whitney/ANOVA/Kruskal-Wallis — régression linéaire"),
+    **dict.fromkeys(("date", "dateTime", "time"), "Non analysé directement comme continu — dérive un délai/une durée si pertinent"),
+    "text": "Exclu de l'analyse quantitative (texte libre) — analyse qualitative séparée possible",
+    "calculate": "À valider manuellement (champ calculé — dépend de la formule)",
+    **dict.fromkeys(("geopoint", "geotrace", "geoshape"), "Exclu de l'analyse statistique (cartographie uniquement)"),
+}
+NO_ANSWER, UNKNOWN_TYPE = "Exclu de l'analyse quantitative (champ technique)", "À déterminer manuellement (type non reconnu)"
 
 
 @dataclass(frozen=True)
@@ -56,7 +70,7 @@ def suffix(name: str) -> str:
 def treatment(kind: str, code: str, multiple: bool) -> str:
     """By statistical key, then by question type, then technical, then undetermined."""
     simple = kind.split(" ")[0]
-    return TREATMENTS.get(stat_key(code, multiple) or "") or TREATMENTS.get(simple) or ("Exclu (champ technique)" if simple in TECHNICAL else "À déterminer")
+    return TREATMENTS.get(stat_key(code, multiple) or "") or TREATMENTS.get(simple) or (NO_ANSWER if simple in TECHNICAL else UNKNOWN_TYPE)
 
 
 def role(choices: str, kind: str) -> str:
@@ -134,12 +148,13 @@ def numbers(df: DataFrame, name: str) -> DataFrame:
     from quaestor.functions.stats import t_quantile
 
     x = number(col(name))
-    n, mean, std, q = df.agg(F.count(x), F.avg(x), F.stddev_samp(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()
+    n, mean, std = df.agg(F.count(x), F.avg(x), F.stddev_samp(x)).first()
     schema = "n long, normal boolean, centre double, low double, high double"
     if n < 3:
         return df.sparkSession.createDataFrame([], schema)
     normal = inference.normality(df, name, policy="normal")[1]
     half = t_quantile(0.975, n - 1) * std / n**0.5
+    q = None if normal else of_variables(df, {name: x}, [0.25, 0.5, 0.75]).first()["q"]
     return df.sparkSession.createDataFrame([(n, normal, mean, mean - half, mean + half) if normal else (n, normal, q[1], q[0], q[2])], schema)
 
 
@@ -167,8 +182,9 @@ def scores(df: DataFrame, questions: list[Question], columns: dict[str, str]) ->
 
 def score_summary(df: DataFrame, names: list[str]) -> DataFrame:
     """(score, n, mean, median)."""
-    rows = F.array(*[F.struct(F.lit(n).alias("score"), F.count(col(n)).alias("n"), F.round(F.avg(col(n)), 4).alias("mean"), F.round(F.percentile(col(n), F.lit(0.5)), 4).alias("median")) for n in names])
-    return df.agg(rows.alias("x")).select(F.inline("x"))
+    rows = F.array(*[F.struct(F.lit(n).alias("score"), F.count(col(n)).alias("n"), F.round(F.avg(col(n)), 4).alias("mean")) for n in names])
+    middle = of_variables(df, {n: col(n).cast("double") for n in names}, [0.5]).select(F.col("variable").alias("score"), F.round(F.col("q")[0], 4).alias("median"))
+    return df.agg(rows.alias("x")).select(F.inline("x")).join(F.broadcast(middle), "score", "left").select("score", "n", "mean", "median")
 
 
 def stratified(df: DataFrame, score: str, stratum: str, least: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -184,8 +200,8 @@ def quality(df: DataFrame, columns: dict[str, str], numeric: list[str] = (), abs
     if columns:
         fences = {}
         if numeric:
-            f = df.agg(*[F.percentile(number(col(columns[n])), F.array(F.lit(0.25), F.lit(0.75))).alias(str(k)) for k, n in enumerate(numeric)]).first()
-            fences = {n: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for n, q in zip(numeric, f, strict=True) if q}
+            found = of_variables(df, {n: number(col(columns[n])) for n in numeric}, [0.25, 0.75]).collect()  # a row for each variable
+            fences = {n: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for n, q in found}
         row = lambda n, c: F.struct(F.lit(n).alias("variable"), F.round(100.0 * F.count(col(c)) / F.nullif(F.count("*"), F.lit(0)), 1).alias("completion"), (F.count("*") - F.count(col(c))).alias("missing"), (F.when(F.count(number(col(c))) >= 4, F.coalesce(F.sum((~number(col(c)).between(*fences[n])).cast("long")), F.lit(0))).otherwise(F.lit(0)) if n in fences else F.lit(None)).cast("long").alias("outliers"), F.lit(False).alias("absent"))
         out = df.agg(F.array(*[row(n, c) for n, c in columns.items()]).alias("x")).select(F.inline("x")).unionByName(out)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,28 @@ def place_column(df: DataFrame, sample: int = 20, least: int = 2) -> str | None:
     return texts[best] if hits[best] >= least else None
 
 
+# Patterns of the columns that describe a place, most wanted first, on names without marks in lower case.
+CONTEXT = {
+    "region": (r"region[_\s\-]?sanit", r"\bregion\b", r"\bprovince\b", r"zone[_\s\-]?admin"),
+    "district": (r"district[_\s\-]?sanit", r"\bdistrict\b", r"\bdepartement\b", r"sous[_\s\-]?(region|prefecture)"),
+    "aire": (r"aire[_\s\-]?(de[_\s\-]?)?sant", r"aire[_\s\-]?sanit", r"\baire\b", r"\bsecteur\b", r"\blocalite\b", r"\bvillage\b"),
+    "superviseur": (r"\bsupervis(eur|euse|ion)?\b", r"supervis"),
+    "enqueteur": (r"\benqueteur\b", r"\benquetrice\b", r"agent[_\s\-]?(de[_\s\-]?)?collect", r"\bcollecteur\b", r"\benquet"),
+    "date": (r"date[_\s\-]?(de[_\s\-]?)?collect", r"date[_\s\-]?(de[_\s\-]?)?(enquet|interview)", r"^date\b"),
+    "zone": (r"zone[_\s\-]?(d['_\s\-])?(habit|resid)", r"zone[_\s\-]?(rural|urbain)", r"\bzone\b", r"\bmilieu\b", r"\burbain\b", r"\brural\b"),
+    "start": (r"^start$", r"^heure_debut$", r"^debut$", r"^start_time$"),
+    "end": (r"^end$", r"^heure_fin$", r"^fin$", r"^end_time$"),
+    "duration": (r"duree_entretien", r"duree_enquete", r"temps_enquete", r"interview_duration", r"survey_duration", r"duree_interview"),
+}
+
+
+def context_columns(names: list[str]) -> dict[str, str]:
+    """The column that plays each part of CONTEXT: the first name that the most wanted pattern fits, whatever its marks and case."""
+    plain = [("".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)).lower(), n) for n in names]
+    found = {part: next((n for p in patterns for low, n in plain if re.search(p, low)), None) for part, patterns in CONTEXT.items()}
+    return {part: n for part, n in found.items() if n}
+
+
 def points(df: DataFrame, place: str | tuple[str, str], context: list[str] = ()) -> DataFrame:
     """(lat, lon, context...) of the rows that have a place; a pair of columns may write decimals with a comma."""
     return _placed(df, place).where("p is not null").select("p.lat", "p.lon", *map(col, context))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import stats
 from quaestor.functions.exprs import col, number
+from quaestor.operators.quantiles import quantiles
 
 
 #: Ranges of values whose counts are summed apart when ranks are made.
@@ -36,8 +37,10 @@ def ranked(df: DataFrame, name: str) -> DataFrame:
 def group_figures(df: DataFrame, group: str, value: str, least: int = 1) -> DataFrame:
     """(group, n, mean, median, std, min, max) of groups of ``least`` values or more."""
     x = number(col(value))
-    out = df.where(col(group).isNotNull()).groupBy(col(group).cast("string").alias("group")).agg(F.count(x).alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.percentile(x, F.lit(0.5)), 2).alias("median"), F.round(F.stddev_samp(x), 2).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    return out.where(F.col("n") >= least)
+    out = df.where(col(group).isNotNull()).groupBy(col(group).cast("string").alias("group")).agg(F.count(x).alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.stddev_samp(x), 2).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    middle = quantiles(df.where(col(group).isNotNull()).select(col(group).cast("string").alias("group"), x.alias("x")), ["group"], "x", [0.5])
+    out = out.where(F.col("n") >= least).join(middle, "group", "left")
+    return out.select("group", "n", "mean", F.round(F.col("q")[0], 2).alias("median"), "std", "min", "max")
 
 
 def anova(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:

@@ -109,13 +109,17 @@ def ca(df: DataFrame, row: str, column: str, axes: int = 4) -> tuple[DataFrame,
     return inertia, spark.createDataFrame(coords, "side string, category string, axis int, raw_coord double")
 
 
-def clustered(df: DataFrame, names: list[str], k: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``cluster``, profile (cluster, n, pct, mean of each variable)) of standardised variables."""
+def clustered(df: DataFrame, names: list[str], k: int = 3, seed: int = 42, starts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``cluster``, profile (cluster, n, pct, mean of each variable)) of standardised variables: the clustering of least
+    inertia of ``starts``."""
     rows = _complete(df, names)
     _, mean, std, _ = _moments(rows, names)
     z = rows.select("*", *[((col(n) - float(m)) / float(s or 1.0)).alias(f"__z{i}") for i, (n, m, s) in enumerate(zip(names, mean, std, strict=True))])
     fed = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(names))], outputCol="__v").transform(z)
-    out = KMeans(featuresCol="__v", predictionCol="cluster", k=k, seed=seed, initSteps=10).fit(fed).transform(fed)
+    fed = fed.persist()
+    models = [KMeans(featuresCol="__v", predictionCol="cluster", k=k, seed=seed + i).fit(fed) for i in range(starts)]
+    fed.unpersist()
+    out = min(models, key=lambda m: m.summary.trainingCost).transform(fed)
     total = out.count()
     profile = out.groupBy("cluster").agg(F.count("*").alias("n"), F.round(100.0 * F.count("*") / total, 1).alias("pct"), *[F.round(F.avg(col(n)), 2).alias(n) for n in names])
     return out.drop(*[f"__z{i}" for i in range(len(names))]), profile
@@ -139,12 +143,12 @@ def silhouette(rows: DataFrame) -> float:
     return x.agg(F.avg((rest - own) / F.nullif(F.greatest(own, rest), F.lit(0.0)))).first()[0] or 0.0
 
 
-def elbow(df: DataFrame, names: list[str], most: int = 8) -> DataFrame:
-    """(k, inertia, silhouette) for k from 2 on."""
+def elbow(df: DataFrame, names: list[str], most: int = 8, starts: int = 3) -> DataFrame:
+    """(k, inertia, silhouette) for k from 2 on, each of the best of ``starts`` clusterings."""
     n = _complete(df, names).count()
     lines = []
     for k in range(2, min(most, n - 1) + 1):
-        rows, _ = clustered(df, names, k)
+        rows, _ = clustered(df, names, k, starts=starts)
         from pyspark.ml.functions import vector_to_array
 
         size = len(names)

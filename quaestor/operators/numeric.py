@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.exprs import adjusted_kurtosis, adjusted_skewness, col, normality, number
+from quaestor.operators.quantiles import of_variables
 
 
 def _figures(name: str) -> Column:
     x = number(col(name))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return F.struct(
         F.lit(name).alias("variable"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.get(q, 0).alias("q1"), F.get(q, 1).alias("median"), F.get(q, 2).alias("q3"), adjusted_skewness(x).alias("skew"), adjusted_kurtosis(x).alias("kurt"),
+        adjusted_skewness(x).alias("skew"), adjusted_kurtosis(x).alias("kurt"),
     )
 
 
 def summaries(df: DataFrame, names: list[str]) -> DataFrame:
-    """A row of figures for each variable from one pass; the sample deviation, exact quartiles and adjusted shape, rounded to 4
+    """A row of figures for each variable, from one pass and two for the quartiles; the sample deviation, exact quartiles and adjusted shape, rounded to 4
     digits, the 95 percent interval of the mean by 1.96 standard errors, and the shape's label. No value: nulls."""
     rows = df.agg(F.array(*map(_figures, names)).alias("x")).select(F.inline("x"))
+    quartiles = of_variables(df, {n: number(col(n)) for n in names}, [0.25, 0.5, 0.75])
+    rows = rows.join(F.broadcast(quartiles), "variable", "left").select("*", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     error = 1.96 * F.col("std") / F.sqrt(F.nullif(F.col("n"), F.lit(0)).cast("double"))
     r = lambda c: F.round(c, 4)
     return rows.select(
@@ -33,7 +35,7 @@ def summaries(df: DataFrame, names: list[str]) -> DataFrame:
 def outliers(df: DataFrame, name: str, least: int = 4) -> DataFrame:
     """(n, count, pct, lower, upper, extreme_low, extreme_high): values beyond 1.5 interquartile ranges; none under ``least`` values."""
     x = number(col(name))
-    fences = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(x).alias("n")).select("n", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
+    fences = df.agg(F.count(x).alias("n")).join(F.broadcast(of_variables(df, {name: x}, [0.25, 0.75])), F.lit(True), "left").select("n", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
     below, above = F.col("x") < F.col("lower"), F.col("x") > F.col("upper")
     out = df.select(x.alias("x")).join(F.broadcast(fences)).agg(F.max("n").alias("n"), F.sum((below | above).cast("long")).alias("c"), F.max("lower").alias("lower"), F.max("upper").alias("upper"), F.min(F.when(below, F.col("x"))).alias("extreme_low"), F.max(F.when(above, F.col("x"))).alias("extreme_high"))
     enough = F.col("n") >= least

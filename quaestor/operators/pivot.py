@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.exprs import col, number
 from quaestor.operators.cleaning import filtered
+from quaestor.operators.quantiles import quantiles
 
 AGGREGATES = ("count", "sum", "mean", "median", "min", "max", "std", "nunique")
 
@@ -18,7 +19,7 @@ def _aggregate(name: str, value: str | None) -> Column:
     if value is None:
         raise ValueError(f"{name} needs a value variable")
     x = number(col(value))
-    return {"sum": F.sum(x), "mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x), "nunique": F.count_distinct(x).cast("double")}[name]
+    return {"sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x), "nunique": F.count_distinct(x).cast("double")}[name]
 
 
 def cells(df: DataFrame, rows: list[str], cols: list[str] = (), value: str | None = None, agg: str = "count", filters: dict[str, list[str]] | None = None, fill: float | None = 0.0) -> DataFrame:
@@ -33,7 +34,12 @@ def cells(df: DataFrame, rows: list[str], cols: list[str] = (), value: str | Non
     df = filtered(df, filters or {}).na.drop(subset=[*rows, *cols])
     if needs and value is not None:
         df = df.where(number(col(value)).isNotNull())
-    out = df.groupBy(*map(col, [*rows, *cols])).agg(_aggregate(agg, value).alias("value"))
+    if agg == "median":
+        if value is None:
+            raise ValueError("median needs a value variable")
+        out = quantiles(df.withColumn("__value", number(col(value))), [*rows, *cols], "__value", [0.5]).select(*map(col, [*rows, *cols]), F.col("q")[0].alias("value"))
+    else:
+        out = df.groupBy(*map(col, [*rows, *cols])).agg(_aggregate(agg, value).alias("value"))
     if not cols or fill is None:
         return out
     # The grid of keys that occur: as many cells as the pivot has.
@@ -43,8 +49,10 @@ def cells(df: DataFrame, rows: list[str], cols: list[str] = (), value: str | Non
 
 def percent(out: DataFrame, mode: str, rows: list[str], cols: list[str]) -> DataFrame:
     """The cells' shares of their row, column or the total, 1 digit; null where the total is 0."""
-    w = {"row": Window.partitionBy(*map(col, rows)), "col": Window.partitionBy(*map(col, cols)), "total": Window.partitionBy(F.lit(1))}[mode]
-    return out.withColumn("value", F.round(100.0 * F.col("value") / F.nullif(F.sum("value").over(w), F.lit(0.0)), 1))
+    share = lambda total: F.round(100.0 * F.col("value") / F.nullif(total, F.lit(0.0)), 1)
+    if mode == "total":
+        return out.join(F.broadcast(out.agg(F.sum("value").alias("__all")))).withColumn("value", share(F.col("__all"))).drop("__all")
+    return out.withColumn("value", share(F.sum("value").over(Window.partitionBy(*map(col, {"row": rows, "col": cols}[mode])))))
 
 
 def margins(out: DataFrame, row: str, column: str, label: str = "Total") -> DataFrame:
@@ -62,9 +70,9 @@ def wide(out: DataFrame, rows: list[str], cols: list[str], values: list | None =
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     """(row, col, observed, expected, residual, contribution) of each cell; residual: (O - E) / root of E, 2 digits."""
     out = cells(df, [row], [column]).select(col(row).alias("row"), col(column).alias("col"), F.col("value").alias("observed"))
-    by_row, by_col, all_ = Window.partitionBy("row"), Window.partitionBy("col"), Window.partitionBy(F.lit(1))
-    expected = F.sum("observed").over(by_row) * F.sum("observed").over(by_col) / F.sum("observed").over(all_)
-    out = out.withColumn("expected", expected)
+    by_row, by_col = Window.partitionBy("row"), Window.partitionBy("col")
+    expected = F.sum("observed").over(by_row) * F.sum("observed").over(by_col) / F.col("all")
+    out = out.join(F.broadcast(out.agg(F.sum("observed").alias("all")))).withColumn("expected", expected)
     gap = F.col("observed") - F.col("expected")
     return out.select("row", "col", "observed", F.round("expected", 4).alias("expected"), F.round(gap / F.sqrt("expected"), 2).alias("residual"), (gap * gap / F.col("expected")).alias("contribution"))
 
@@ -72,19 +80,30 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
 def chi2(df: DataFrame, row: str, column: str) -> DataFrame:
     """(statistic, p, dof, cramers_v, significance, strength): one row; corrected where the table is 2 by 2.
 
-    The table of counts, at most as large as the variables' values, is tested on the driver."""
-    from quaestor.functions.stats import chi2_test, significance, strength
-
-    found = cells(df, [row], [column]).collect()
-    rows, cols = sorted({str(r[row]) for r in found}), sorted({str(r[column]) for r in found})
-    table = [[0.0] * len(cols) for _ in rows]
-    for r in found:
-        table[rows.index(str(r[row]))][cols.index(str(r[column]))] += r["value"]
-    x, p, dof, v = chi2_test(table)
-    empty = dof == 0
-    line = (None, None, 0, None, None, None) if empty else (round(x, 4), p, dof, round(v, 3), significance(p), strength(v))
+    Cells that no row falls in add their expected count: only those that occur are counted. The driver gets sums, and the cells
+    themselves where they are four."""
+    from quaestor.functions.stats import chi2_tail, chi2_test, significance, strength
+
+    found = cells(df, [row], [column], fill=None).select(col(row).cast("string").alias("r"), col(column).cast("string").alias("c"), F.col("value").alias("o"))
+    rows, cols, n = found.agg(F.count_distinct("r"), F.count_distinct("c"), F.sum("o")).first()
+    dof = max(rows - 1, 0) * max(cols - 1, 0)
+    if dof == 1:
+        four = {(t["r"], t["c"]): t["o"] for t in found.collect()}
+        x, p, dof, v = chi2_test([[four.get((a, b), 0.0) for b in sorted({c for _, c in four})] for a in sorted({r for r, _ in four})])
+    elif dof:
+        sums = lambda c: found.groupBy(c).agg(F.sum("o").alias(f"n_{c}"))
+        e = F.col("n_r") * F.col("n_c") / F.lit(n)
+        x = found.join(sums("r"), "r").join(sums("c"), "c").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e - e)).first()[0] + n
+        p, v = chi2_tail(x, dof), (x / (n * (min(rows, cols) - 1))) ** 0.5
+    line = (None, None, 0, None, None, None) if not dof else (round(x, 4), p, dof, round(v, 3), significance(p), strength(v))
     return df.sparkSession.createDataFrame([line], "statistic double, p double, dof int, cramers_v double, significance string, strength string")
 
 
 def melted(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     return df.unpivot(ids, values, "variable", "value")
+
+
+def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
+    """(row, col, n): the counts of a report's cross table, both variables read as text; cells that no row falls in have 0."""
+    text = df.select(col(row).cast("string").alias("row"), col(column).cast("string").alias("col"))
+    return cells(text, ["row"], ["col"]).select("row", "col", F.col("value").cast("long").alias("n"))

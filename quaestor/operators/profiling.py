@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaestor.functions.exprs import adjusted_skewness, col, label_from_code, number
+from quaestor.operators.quantiles import of_variables
 
 #: Most distinct values of a numeric and of another categorical variable; mean length from which text is free.
 FEW_NUMBERS, FEW_VALUES, LONG_TEXT = 15, 20, 50
@@ -142,7 +143,8 @@ def anomalies(df: DataFrame, profiled: DataFrame) -> DataFrame:
     spark, parts = df.sparkSession, []
     row = lambda d, kind, severity, figure: d.select(F.lit(kind).alias("anomaly"), "variable", F.lit(severity).alias("severity"), F.round(figure, 2).alias("figure"))
     if numbers:
-        q = df.agg(F.array(*[F.struct(F.lit(v).alias("variable"), F.expr(f"percentile(try_cast(`{v}` as double), array(0.25, 0.75))").alias("q"), F.stddev_samp(number(col(v))).alias("std"), adjusted_skewness(number(col(v))).alias("skew"), F.count(number(col(v))).alias("n")) for v in numbers]).alias("x")).select(F.inline("x"))
+        q = df.agg(F.array(*[F.struct(F.lit(v).alias("variable"), F.stddev_samp(number(col(v))).alias("std"), adjusted_skewness(number(col(v))).alias("skew"), F.count(number(col(v))).alias("n")) for v in numbers]).alias("x")).select(F.inline("x"))
+        q = q.join(F.broadcast(of_variables(df, {v: number(col(v)) for v in numbers}, [0.25, 0.75])), "variable", "left")
         long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), number(col(v)).alias("x")) for v in numbers])).alias("s")).select("s.*").where("x is not null")
         iqr = F.col("q")[1] - F.col("q")[0]
         out = long.join(F.broadcast(q), "variable").where((F.col("x") < F.col("q")[0] - 1.5 * iqr) | (F.col("x") > F.col("q")[1] + 1.5 * iqr)).groupBy("variable").agg((100.0 * F.count("*") / F.first("n")).alias("pct"))
@@ -185,8 +187,11 @@ def context(df: DataFrame, profiled: DataFrame, columns: int = 50, top: int = 5)
     spark = df.sparkSession
     out = spark.createDataFrame([], "variable string, kind string, figures string")
     if numbers:
-        shown = lambda v: F.format_string("%.2f;%.2f;%.2f;%.2f;%.2f", *[F.round(x, 2) for x in (F.avg(number(col(v))), F.percentile(number(col(v)), F.lit(0.5)), F.stddev_samp(number(col(v))), F.min(number(col(v))), F.max(number(col(v))))])
-        out = out.unionByName(df.agg(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit("continue").alias("kind"), shown(v).alias("figures")) for v in numbers]).alias("x")).select(F.inline("x")))
+        four = lambda v: F.array(*[F.round(f(number(col(v))), 2) for f in (F.avg, F.stddev_samp, F.min, F.max)])
+        found = df.agg(F.array(*[F.struct(F.lit(v).alias("variable"), four(v).alias("f")) for v in numbers]).alias("x")).select(F.inline("x"))
+        found = found.join(F.broadcast(of_variables(df, {v: number(col(v)) for v in numbers}, [0.5])), "variable", "left")
+        shown = F.format_string("%.2f;%.2f;%.2f;%.2f;%.2f", F.col("f")[0], F.round(F.col("q")[0], 2), *[F.col("f")[i] for i in (1, 2, 3)])
+        out = out.unionByName(found.select("variable", F.lit("continue").alias("kind"), shown.alias("figures")))
     if cats:
         ranked = value_counts(df, cats).withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy(F.desc("n"), "value"))).where(F.col("k") <= top)
         listed = ranked.groupBy("variable").agg(F.sort_array(F.collect_list(F.struct("k", F.format_string("%s=%d", "value", "n").alias("s")))).alias("v"))
@@ -197,3 +202,9 @@ def context(df: DataFrame, profiled: DataFrame, columns: int = 50, top: int = 5)
 def distinct_options(df: DataFrame, name: str, most: int = 30) -> DataFrame:
     """The first values of a variable, in order, for a filter list."""
     return df.select(col(name).cast("string").alias("value")).where("value is not null").distinct().orderBy("value").limit(most)
+
+
+def systematic(df: DataFrame) -> dict[str, DataFrame | list[tuple[int, str, list[str]]]]:
+    """The whole first analysis of a table: its profile, missing values, anomalies, a written summary's figures, and what to do next."""
+    found = profile(df)
+    return {"profile": found, "missing": missing_profile(found), "anomalies": anomalies(df, found), "context": context(df, found), "recommendations": recommendations(types(found))}

@@ -197,7 +197,7 @@ def _reference(spark, d) -> DataFrame:
 
 REF = """WITH raw AS (SELECT s_suppkey AS line, CAST(s_suppkey % 80 AS VARCHAR) AS code, CASE WHEN s_suppkey % 3 != 0 THEN s_name END AS nom, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE CAST(s_nationkey AS VARCHAR) END AS cible, CASE WHEN s_nationkey > 4 THEN CAST(s_nationkey % 4 AS VARCHAR) END AS groupe FROM supplier),
 ref AS (SELECT code, coalesce(nom, code) AS nom, coalesce(try_cast(cible AS INTEGER), 0) AS cible, groupe FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY line DESC) AS k FROM raw) WHERE k = 1),
-got AS (SELECT CAST(l_suppkey % 90 AS VARCHAR) AS code, count(*) AS n FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1), pu AS (SELECT code, nom, groupe, recu, cible, """ + GRADE + """ FROM (SELECT ref.*, coalesce(got.n, 0) AS recu, false AS floor_form FROM ref LEFT JOIN got ON got.code = ref.code))
+got AS (SELECT CAST(l_suppkey % 90 AS VARCHAR) AS code, count(*) AS n FROM lineitem GROUP BY 1), pu AS (SELECT code, nom, groupe, recu, cible, """ + GRADE + """ FROM (SELECT ref.*, coalesce(got.n, 0) AS recu, false AS floor_form FROM ref LEFT JOIN got ON got.code = ref.code))
 """
 
 
@@ -207,7 +207,7 @@ def ref_load(spark, d) -> DataFrame:
 
 
 def _project(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey % 97 = 0").select(F.concat((F.col("l_suppkey") % 90).cast("string"), F.lit(" ")).alias("etab"))
+    rows = table(spark, d, "lineitem").select(F.concat((F.col("l_suppkey") % 90).cast("string"), F.lit(" ")).alias("etab"))
     return cp.project_units(_reference(spark, d), rows, "etab")
 
 
@@ -498,9 +498,9 @@ def cascade_distinct(spark, d) -> DataFrame:
 # Texts
 
 
-@query("SELECT doc_id, CASE WHEN s = '' THEN 'field' ELSE s END AS name FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 120)), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 63) AS s FROM documents WHERE lang IN ('fr', 'es'))")
+@query("SELECT doc_id, CASE WHEN s = '' THEN 'field' ELSE s END AS name FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(strip_accents(coalesce(text, '')), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 63) AS s FROM documents)")
 def sanitize_name(spark, d) -> DataFrame:
-    return table(spark, d, "documents").where("lang in ('fr', 'es')").select("doc_id", exprs.sanitized(F.substring("text", 1, 120)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", exprs.sanitized(F.col("text")).alias("name"))
 
 
 @query("SELECT doc_id, 'Age_' || lang || '_1Y' AS name, 'q_1' || source || '_X' AS digit FROM documents")
@@ -519,10 +519,10 @@ def radical_from_label(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", questionnaire.radical_from_label(F.concat(F.lit("Quelle est la distance (en km) de l'"), "p_type", F.lit(" ?"))).alias("radical"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS label FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT CAST(p_partkey % 100 AS VARCHAR), p_name FROM part WHERE p_partkey % 100 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 50)")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS label FROM supplier UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def learn_anti(spark, d) -> DataFrame:
-    old = table(spark, d, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("label"))
-    return questionnaire.learned(old, table(spark, d, "part").select((F.col("p_partkey") % 100).cast("string").alias("code"), F.col("p_name").alias("label")))
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("label"))
+    return questionnaire.learned(old, table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("label")))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -539,9 +539,45 @@ def comment_cat(spark, d) -> DataFrame:
     return frequency.concentration(table(spark, d, "orders"), "o_orderpriority").select(comments.categorical("mode", "mode_pct", "k", "herfindahl").alias("comment"))
 
 
-@query()
+@query("""WITH g AS (SELECT o_orderstatus AS r, o_orderpriority AS c, CAST(count(*) AS DOUBLE) AS o FROM orders GROUP BY 1, 2), e AS (SELECT *, sum(o) OVER (PARTITION BY r) * sum(o) OVER (PARTITION BY c) / sum(o) OVER () AS e FROM g),
+v AS (SELECT sqrt(sum((o-e)*(o-e)/e)/(sum(o)*2)) AS v, sum((o-e)*(o-e)/e)/2 AS h FROM e), p AS (SELECT v, exp(-h)*(1+h+h*h/2+h*h*h/6) AS p FROM v)
+SELECT format('Association {} (V de Cramér = {:.3f}) · {}.', CASE WHEN v < 0.1 THEN 'négligeable' WHEN v < 0.3 THEN 'faible' WHEN v < 0.5 THEN 'modérée' ELSE 'forte' END, round(v, 3), CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p < 0.01 THEN 'p < 0.01' WHEN p < 0.05 THEN 'p < 0.05' ELSE 'non significatif' END) AS comment FROM p""")
 def comment_crosstab(spark, d) -> DataFrame:
     from quaestor.functions import comments
     from quaestor.operators import pivot
 
     return pivot.chi2(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority").select(comments.crosstab("strength", "cramers_v", "significance").alias("comment"))
+
+
+@query("""WITH s AS (SELECT round(avg(l_quantity),4) AS m, round(stddev_samp(l_quantity),4) AS sd, round(median(l_quantity),4) AS md, round(100*stddev_samp(l_quantity)/avg(l_quantity),4) AS cv FROM lineitem)
+SELECT format('Moyenne {:.2f} (écart-type {:.2f}) · Médiane {:.2f} · {}{}.', m, sd, md, CASE WHEN coalesce(cv,0)=0 THEN 'dispersion non calculable' WHEN cv<15 THEN 'faible dispersion' WHEN cv<35 THEN 'dispersion modérée' ELSE 'forte dispersion' END, CASE WHEN abs(m-md)/greatest(abs(md),1.0) > 0.15 THEN ' · distribution asymétrique' ELSE '' END) AS comment FROM s""")
+def comment_num(spark, d) -> DataFrame:
+    from quaestor.functions import comments
+    from quaestor.operators import numeric
+
+    return numeric.summaries(table(spark, d, "lineitem"), ["l_quantity"]).select(comments.continuous("mean", "std", "median", "cv").alias("comment"))
+
+
+@query("""WITH f AS (SELECT 'a' AS label, sum(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) AS n, count(*) AS t FROM lineitem UNION ALL SELECT 'b', sum(CASE WHEN l_linestatus='O' THEN 1 ELSE 0 END), count(*) FROM lineitem)
+SELECT format('{} modalités proposées · Modalité la plus citée : « {} » ({:.1f}%).', 2, label, round(100.0*n/t,1)) AS comment FROM f ORDER BY n DESC LIMIT 1""")
+def comment_binary(spark, d) -> DataFrame:
+    from quaestor.functions import comments
+    from quaestor.operators import frequency
+
+    flags = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("q/a"), (F.col("l_linestatus") == "O").cast("int").alias("q/b"))
+    best = frequency.binary_group(flags, flags.columns).agg(F.max_by("label", "n_yes").alias("label"), F.max_by("pct", "n_yes").alias("pct"), F.count("*").alias("k"))
+    return best.select(comments.binary_group("label", "pct", "k").alias("comment"))
+
+
+@query(ASSETS + "SELECT a.uid, coalesce(m.form, 'X') AS form FROM a LEFT JOIN (SELECT uid, min(form) AS form FROM m GROUP BY 1) m ON m.uid = a.uid WHERE m.form IS NULL AND contains(lower(a.name), 'fiche_f08')")
+def forms_deactivated(spark, d) -> DataFrame:
+    registry = forms(spark).withColumn("hint", F.when(F.col("form") == "X", "Fiche_f08").otherwise(F.col("hint")))
+    # What an active form's hint also fits goes to the form that comes first.
+    return cp.deactivated(_assets(spark, d), _mapping(spark, d), registry)
+
+
+@query("SELECT o_orderstatus AS \"row\", CAST(o_shippriority AS VARCHAR) AS col, count(*) AS n FROM (SELECT o_orderstatus, o_orderkey % 3 AS o_shippriority FROM orders) GROUP BY 1, 2")
+def crosstab_text(spark, d) -> DataFrame:
+    from quaestor.operators import pivot
+
+    return pivot.crosstab(table(spark, d, "orders").withColumn("third", F.col("o_orderkey") % 3), "o_orderstatus", "third")

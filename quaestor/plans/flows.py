@@ -14,7 +14,11 @@ from quaestor.streaming import collect
 
 
 def _folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/quaestor-flow-{uuid.uuid4().hex}"
 
 

@@ -280,7 +280,7 @@ def kmeans_profile(spark, d) -> DataFrame:
 
 @query()
 def kmeans_elbow(spark, d) -> DataFrame:
-    return multivariate.elbow(table(spark, d, "part"), ["p_size", "p_retailprice"], 4)
+    return multivariate.elbow(table(spark, d, "part"), ["p_size", "p_retailprice"])
 
 
 @query()

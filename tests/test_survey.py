@@ -173,3 +173,84 @@ def test_wilson_holds_the_share(k, n):
     p, z = k / n, 1.96
     low = ((p + z * z / (2 * n)) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     assert low <= p + 1e-12
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from quaestor.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=5000), "b": rng.integers(0, 3, 1000).astype(float), "c": np.array([5.0]), "d": np.array([1.0, 2.0]), "e": np.array([3.0, 1.0, 2.0]), "f": rng.integers(0, 50, 37) / 7, "g": np.repeat([1.0, 9.0], [999, 1001])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("h", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for accuracy in (10_000, 500):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        monkeypatch.setattr(quantiles, "MARGIN", 10 / accuracy)
+        got = {r["g"]: r["q"] for r in quantiles.quantiles(df.where("g is not null"), ["g"], "x", probs).collect()}
+        assert got.keys() == groups.keys()
+        for k, x in groups.items():
+            assert got[k] == pytest.approx(np.quantile(x, probs).tolist()), k
+
+
+def test_technical_columns_are_those_of_the_tool(spark):
+    names = ["_id", "_submission_time", "_index", "_parent_index", "_parent_table_name", "_submission__id", "_submission___version__", "_attachments", "_version_", "meta/instanceID", "age"]
+    assert cleaning.cleaned(spark.createDataFrame([tuple("x" for _ in names)], names)).columns == ["_attachments", "_version_", "meta/instanceID", "age"]
+
+
+def test_names_lose_all_marks(spark):
+    import re
+    import unicodedata
+
+    texts = ["Région sanitaire", "šğō ŵ", "e\u0301te\u0301", "日本 x", "", None, "___", "ß", "ẫ" * 80, "".join(map(chr, range(0xC0, 0x180)))]
+
+    def plain(t):
+        s = re.sub("_+", "_", re.sub("[^a-zA-Z0-9_]", "_", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t or ""))))
+        return re.sub("^_+|_+$", "", s)[:63] or "field"
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(exprs.sanitized(F.col("t"))).collect()] == [plain(t) for t in texts]
+
+
+def test_registry_edits(spark):
+    forms = spark.createDataFrame([("F5", "Ménages", "5_", "etablissement", "fixed_per_etablissement", 15, 1, True), ("D1", "District", "F01", "district", "fixed_per_district", 1, 2, True)], "form string, label string, hint string, grain string, rule string, n int, position int, active boolean")
+    more = completeness.with_form(forms, " F9 ", "Neuf", "9_", "etablissement", "fixed_per_etablissement", 2)
+    assert [tuple(r) for r in completeness.active_forms(more).select("form", "position").collect()] == [("F5", 1), ("D1", 2), ("F9", 3)]
+    for bad in ({"code": ""}, {"code": "F5"}, {"grain": "x"}, {"rule": "x"}, {"actor": "x"}):
+        with pytest.raises(ValueError):
+            completeness.with_form(**{"forms": forms, "code": "N", "label": "", "hint": "", "grain": "district", "rule": "fixed_per_district", **bad})
+    off = completeness.set_active(more, "F5", False)
+    assert [r["form"] for r in completeness.active_forms(completeness.without_form(off, "D1")).collect()] == ["F9"]
+    assets = spark.createDataFrame([("a", "5_Fiche"), ("b", "autre"), ("c", "F01"), ("d", None)], "uid string, name string")
+    mapping = spark.createDataFrame([("F5", "b")], "form string, uid string")
+    assert {tuple(r) for r in completeness.deactivated(assets, mapping, off).collect()} == {("a", "F5"), ("b", "F5")}
+    units, districts = spark.createDataFrame([("u1", 1)], "unit string, district int"), spark.createDataFrame([(1,)], "district int")
+    with pytest.raises(ValueError):
+        completeness.form_completeness("none", forms, units, districts, spark.createDataFrame([], "form string, unit string, n long"), spark.createDataFrame([], "form string"))
+
+
+def test_context_columns_of_a_map():
+    names = ["Région sanitaire", "Nom du district", "Aire de santé", "Superviseur de l'enquête", "Nom de l'enquêteur", "Date de collecte", "Milieu", "start", "end", "autre"]
+    assert geo.context_columns(names) == dict(zip(["region", "district", "aire", "superviseur", "enqueteur", "date", "zone", "start", "end"], names, strict=False))
+    assert geo.context_columns(["x"]) == {}
+
+
+def test_systematic_analysis(spark):
+    df = spark.createDataFrame([(float(i), float(i * i), "a" if i % 3 else "b", None) for i in range(60)], "x double, y double, c string, none string")
+    out = profiling.systematic(df)
+    assert out["profile"].count() == 4 and [r["variable"] for r in out["missing"].collect()] == ["none"]
+    assert ("Colonne presque vide", "none") in {(r["anomaly"], r["variable"]) for r in out["anomalies"].collect()}
+    assert [name for _, name, _ in out["recommendations"]][0] == "Corrélations"
+
+
+def test_clusters_are_the_best_of_several_starts(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(30, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 9), (9, 0))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
+    rows, profile = multivariate.clustered(df, ["a", "b"], 4, starts=5)
+    assert sorted(r["n"] for r in profile.collect()) == [30] * 4
+
+
+def test_readers_of_reference_files():
+    assert completeness.check_reference(["code", "nom"]) and not completeness.check_reference(["code", "cible"])
+    assert stats.dagostino(5000, 0.0, 0.0)[1] > 0.5 and stats.dagostino(5000, 1.0, 3.0)[1] < 1e-6
+    assert profiling.recommendations({"a": "continue"}) == []
