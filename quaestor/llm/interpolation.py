@@ -23,7 +23,7 @@ from quaestor.llm.common import Stash, fold, partitions, slices
 from quaestor.llm.kernel import U, mix, word_hashes
 
 #: Bytes of text in a shard, about.
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Context-frequency buckets are powers of two of the context's count, up to this one.
 LEVELS = 24
 #: Steps of the grid, in octaves, on which the held-out counts' estimates are tallied for EM; below 2**-FLOOR they are zero.
