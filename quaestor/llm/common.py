@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,8 +67,14 @@ _made: dict[str, object] = {}
 
 
 def forget() -> None:
-    """Frees what this worker process has made of a broadcast value, for an operator's step that needs none."""
+    """Frees what this worker process has made of a broadcast value, for an operator's step that needs none, and gives memory that
+    earlier steps have freed back to the system."""
     _made.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Held:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import Stash, fold, partitions, slices
+from quaestor.llm.common import Stash, fold, forget, partitions, slices
 from quaestor.llm.kernel import U, mix, word_hashes
 
 #: Bytes of text in a shard, about.
@@ -141,6 +141,7 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
 
 def _sent(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for shard, _, own in _shards(batches, size):
             digest = own.digest()
             for kind, keys in enumerate((own.words, own.pairs)):
@@ -213,6 +214,7 @@ def _documents(size: int, buckets: int):
     """A shard's rows and keys, compressed, to meet its answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for shard, rows, own in _shards(batches, size):
             ids = [x for b in rows for x in b.column("doc_id").to_pylist()]
             flags = [np.concatenate([np.asarray(b.column(c)) for b in rows]) for c in ("learn", "deleted")]
