@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import Held, Stash, slices
 from quaestor.llm.components import components
 from quaestor.llm.kernel import U, mix, shingles, word_hashes
+from quaestor.llm.sieve import sieve
 
 #: 32 bands of 5 values, from 80 permutations: a pair with similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
@@ -78,11 +79,13 @@ def _sets(n: int):
     return run
 
 
-def _full(ids: DataFrame, reps: DataFrame, docs: DataFrame, n: int, stash: Stash) -> DataFrame:
-    """(id, grams): the full sets of these representatives. Texts are read again, by a sort-merge join: nothing that grows is broadcast."""
-    ids = ids.join(reps.select("id", "d1").hint("merge"), "id")
-    text = docs.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return stash.put(text.mapInArrow(_sets(n), "id long, d1 long, grams array<long>").join(ids.hint("merge"), ["id", "d1"]).dropDuplicates(["id"]).select("id", "grams"))
+def _full(members: DataFrame, docs: DataFrame, n: int, stash: Stash) -> DataFrame:
+    """(id, grams): the full sets of these representatives (id, d1). Texts are read again but never shuffled: a filter of the ids, of
+    bounded size, lets few others through, and the join is on sets."""
+    wanted = sieve(members)
+    text = docs.where(wanted("doc_id"))
+    sets = text.mapInArrow(_sets(n), "id long, d1 long, grams array<long>").join(members.select("id", F.col("d1").alias("own")).hint("merge"), "id")
+    return stash.put(sets.where("d1 = own").dropDuplicates(["id"]).select("id", "grams"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
@@ -163,21 +166,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     reps = stash.put(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")))
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"))
-    alike = f"100 * least(n, nu) >= {percent} * greatest(n, nu)"
-    star = stash.put(banded.join(hubs.hint("merge"), "key").where("id != u").where(alike).select("u", F.col("id").alias("v")).distinct())
-    sets = _full(star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct(), reps, docs, n, stash)
+    met = stash.put(banded.join(hubs.hint("merge"), "key").select("u", "nu", "id", "n").distinct())
+    # All that share a bucket with others, hubs too; their sets serve both rounds.
+    members = stash.put(reps.join(met.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "d1", "bands"))
+    sets = _full(members, docs, n, stash)
+    star = met.where("id != u").where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", F.col("id").alias("v"))
     links = _confirmed(star, sets, percent, stash)
-    stash.drop(sets)
     comps = stash.put(components(links, stash))
     # Buckets that still hold several components: their members are compared between components.
-    placed = banded.join(comps.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = members.join(comps.hint("merge"), "id", "left").select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = stash.put(placed.join(mixed.hint("merge"), "key", "left_semi").groupBy("id").agg(F.min("c").alias("c")))
-    sets = _full(rest.select("id"), reps, docs, n, stash)
-    pairs = _between(sets.join(rest.hint("merge"), "id"), percent)
+    open_ = stash.put(sets.join(rest.hint("merge"), "id"))
+    pairs = _between(open_, percent)
     pairs = stash.put(pairs.join(star.hint("merge"), ["u", "v"], "left_anti"))
     more = _confirmed(pairs, sets, percent, stash)
-    stash.drop(rest, pairs, star, sets)
+    stash.drop(rest, open_, pairs, met, members, sets)
     if more.head(1):
         stash.drop(comps)
         comps = stash.put(components(links.unionByName(more), stash))
@@ -192,6 +196,10 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without id stay. Where rows with one id have unlike texts, all stay if one of them is kept.
     """
-    kept = near_duplicates(docs, n, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    held = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, n, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    # Rows whose id is repeated or goes: a filter of these ids, of bounded size, spares most other rows the shuffle.
+    special = Stash(docs.sparkSession).put(found.where("times > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"))
+    asked = sieve(special)(F.col("doc_id").cast("long"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rest = docs.where(asked).join(special.where("not kept").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return rest.select(*names).unionByName(docs.where(~asked).select(*names))

@@ -466,3 +466,13 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert {r["component_id"] for r in same} == {10} and minmax.near_duplicates(empty).count() == 0
     kept = minmax.deduplicated(odd, n=4)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 11").count() == 0
+
+
+def test_sieve_loses_no_id(spark):
+    from quaestor.llm.sieve import sieve
+
+    ids = spark.range(0, 3000, 3)
+    passed = {r[0] for r in spark.range(3000).where(sieve(ids)(F.col("id"))).collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < 1100
+    assert spark.range(50).where(sieve(ids.where("false"))(F.col("id"))).count() == 0
+    assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").where(sieve(ids)(F.col("id"))).count() == 0
