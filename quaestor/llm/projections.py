@@ -51,6 +51,28 @@ def keys(x: np.ndarray, passes: int, bits: int, seed: int = 3) -> np.ndarray:
     return signs @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The vectors at length 1."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Each vector's direction as 16-bit steps, after the size of a step (8 bytes): a quarter of it in double precision."""
+    x = unit(x)
+    step = np.abs(x).max(axis=1) / 32767
+    return pa.array([a.tobytes() + b.tobytes() for a, b in zip(step, np.rint(x / step[:, None]).astype(np.int16), strict=True)], pa.binary())
+
+
+def unpacked(column: list[bytes]) -> tuple[np.ndarray, float]:
+    """The directions, of one length, and a bound of the error of two vectors' product."""
+    held = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    step = held[:, :8].copy().view(np.float64)
+    x = held[:, 8:].copy().view(np.int16) * step
+    error = float(step.max()) * x.shape[1] ** 0.5 / 2
+    return x, 2 * error + error * error + 1e-9
+
+
 def _keyed(passes: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -58,9 +80,9 @@ def _keyed(passes: int, bits: int):
                 batch = whole.slice(at, 1024)
                 for rows, x in _by_length(batch.column("e")):
                     found = keys(x, passes, bits)
-                    own = batch.take(pa.array(rows))
+                    ids, held = batch.column("id").take(pa.array(rows)), packed(x)
                     for p in range(passes):
-                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array([x.shape[1]] * len(rows), pa.int32()), pa.array(found[:, p]), own.column("id"), own.column("e")], ["pass", "size", "key", "id", "e"])
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array([x.shape[1]] * len(rows), pa.int32()), pa.array(found[:, p]), ids, held], ["pass", "size", "key", "id", "q"])
 
     return run
 
@@ -68,7 +90,7 @@ def _keyed(passes: int, bits: int):
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int32()), pa.array(np.arange(at, at + batch.num_rows)), *(batch.column(c) for c in ("pass", "id", "e"))], ["part", "place", "pass", "id", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int32()), pa.array(np.arange(at, at + batch.num_rows)), *(batch.column(c) for c in ("pass", "id", "q"))], ["part", "place", "pass", "id", "q"])
         at += batch.num_rows
 
 
@@ -83,51 +105,70 @@ def _compared(window: int, block: int, threshold: float):
         table = table.combine_chunks().sort_by("rank")
         number = table["block"][0].as_py() if table.num_rows else 0
         ids, rank, pas = (np.asarray(table[c]) for c in ("id", "rank", "pass"))
-        size = np.asarray(pc.list_value_length(table["e"].combine_chunks()))
-        u, v = [], []
+        held = table["q"].combine_chunks()
+        size = np.asarray(pc.binary_length(held))
+        u, v, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for n in np.unique(size):
             rows = np.flatnonzero(size == n)
-            x = matrix(table["e"].combine_chunks().take(pa.array(rows)))
-            scale = np.abs(x).max(axis=1, keepdims=True)
-            x = x / scale
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x, error = unpacked(held.take(pa.array(rows)).to_pylist())
             for at in range(0, len(rows), 256):
-                own = rows[at : at + 256]
-                i, j = np.nonzero(unit[at : at + 256] @ unit[at:].T >= threshold - 1e-9)
-                a, b = i + at, j + at
-                fine = (rank[rows[b]] > rank[rows[a]]) & (rank[rows[b]] - rank[rows[a]] <= window) & (rank[rows[a]] < (number + 1) * block) & (pas[rows[a]] == pas[rows[b]]) & (ids[rows[a]] != ids[rows[b]])
-                a, b = a[fine], b[fine]
-                if len(a) and len(own):
-                    same = cosine_at_least(x[a], x[b], threshold)
-                    a, b = ids[rows[a[same]]], ids[rows[b[same]]]
-                    u.append(np.minimum(a, b))
-                    v.append(np.maximum(a, b))
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+                near = x[at : at + 256] @ x[at:].T
+                i, j = np.nonzero(near >= threshold - error)
+                a, b = rows[i + at], rows[j + at]
+                fine = (rank[b] > rank[a]) & (rank[b] - rank[a] <= window) & (rank[a] < (number + 1) * block) & (pas[a] == pas[b]) & (ids[a] != ids[b])
+                a, b, c = ids[a[fine]], ids[b[fine]], near[i[fine], j[fine]]
+                u.append(np.minimum(a, b))
+                v.append(np.maximum(a, b))
+                sure.append(c >= threshold + error)
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v), "sure": np.concatenate(sure)})
+
+    return run
+
+
+def _near_enough(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [len(a) == len(b) and bool(cosine_at_least(*(x[None] / np.abs(x).max() for x in (np.asarray(a.values), np.asarray(b.values))), threshold)[0]) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
     return run
 
 
+def _verified(open_: DataFrame, classes: DataFrame, stash: Stash, threshold: float, count: int) -> DataFrame:
+    """Those of ``open_`` (u, v) whose vectors have a cosine of ``threshold`` or more."""
+    ends = open_.select(F.col("u").alias("id")).unionByName(open_.select(F.col("v").alias("id"))).distinct()
+    held = stash.put(classes.join(F.broadcast(ends) if count <= LARGE else ends.hint("merge"), "id", "left_semi"))
+    both = open_.join(held.select(F.col("id").alias("u"), F.col("e").alias("a")).hint("merge"), "u").join(held.select(F.col("id").alias("v"), F.col("e").alias("b")).hint("merge"), "v")
+    return both.mapInArrow(_near_enough(threshold), "u long, v long").distinct()
+
+
 def pairs(classes: DataFrame, stash: Stash, threshold: float, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, bits: int = BITS) -> DataFrame:
-    """(u, v), u < v: the pairs of ``classes`` (id, e) that are near in some pass and have a cosine of ``threshold`` or more."""
+    """(u, v), u < v: the pairs of ``classes`` (id, e) that are near in some pass and have a cosine of ``threshold`` or more.
+
+    The passes carry directions in 16-bit steps; pairs within their error of the threshold are compared by the vectors themselves.
+    """
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.mapInArrow(_keyed(passes, bits), "pass int, size int, key long, id long, e array<double>")
+    keyed = classes.mapInArrow(_keyed(passes, bits), "pass int, size int, key long, id long, q binary")
     # Equal keys lie in another order in each pass.
     tie = F.xxhash64("pass", "id")
     ordered = keyed.repartitionByRange(parts, "pass", "size", "key", tie).sortWithinPartitions("pass", "size", "key", tie, "id")
-    ordered = stash.put(ordered.mapInArrow(_numbered, "part int, place long, pass int, id long, e array<double>"))
+    ordered = stash.put(ordered.mapInArrow(_numbered, "part int, place long, pass int, id long, q binary"))
     before, total = {}, 0
     for part, n in sorted((r[0], r[1]) for r in ordered.groupBy("part").count().collect()):  # a row for each partition
         before[part], total = total, total + n
     start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")) if before else F.lit(0)
-    ranked = ordered.select("pass", "id", "e", (start + F.col("place")).cast("long").alias("rank"))
+    ranked = ordered.select("pass", "id", "q", (start + F.col("place")).cast("long").alias("rank"))
     own = F.floor(F.col("rank") / block).cast("long")
     # A block's last vectors see the first ones of the next: these also go to the block before.
     back = int(np.ceil(window / block))
     blocks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(back)), lambda k: F.when((k == 0) | ((own >= k) & (F.col("rank") - own * block < window - (k - 1) * block)), own - k)), lambda k: k.isNotNull())
-    dealt = ranked.select(F.explode(blocks).alias("block"), "rank", "pass", "id", "e")
-    return dealt.groupBy("block").applyInArrow(_compared(window, block, threshold), "u long, v long").distinct()
+    dealt = ranked.select(F.explode(blocks).alias("block"), "rank", "pass", "id", "q")
+    found = stash.put(dealt.groupBy("block").applyInArrow(_compared(window, block, threshold), "u long, v long, sure boolean").groupBy("u", "v").agg(F.max("sure").alias("sure")))
+    stash.drop(ordered)
+    clear, open_ = found.where("sure").select("u", "v"), found.where("not sure").select("u", "v")
+    count = open_.count()
+    return clear.unionByName(_verified(open_, classes, stash, threshold, count)) if count else clear
 
 
 def _linked(threshold: float):

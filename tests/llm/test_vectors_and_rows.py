@@ -286,3 +286,17 @@ def test_pipeline(spark, data, odd, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, data)
         assert out.count() == 0, name
+
+
+def test_steps_of_directions_and_pairs_within_their_error(spark):
+    x = np.random.default_rng(5).standard_normal((300, 24)) * 10.0 ** np.random.default_rng(6).integers(-3, 4, (300, 1))
+    held, error = projections.unpacked(projections.packed(x).to_pylist())
+    exact = projections.unit(x) @ projections.unit(x).T
+    assert np.abs(held @ held.T - exact).max() <= error < 2e-3
+    # Pairs so near the threshold that only the vectors themselves tell.
+    angles = [float(np.arccos(0.95 + d)) for d in (3e-8, -3e-8)]
+    rows = [(k, [1.0, 0.0] if k % 2 == 0 else [float(np.cos(angles[k // 2])), float(np.sin(angles[k // 2]))]) for k in range(4)]
+    rows = [(k, [0.0] * (2 * (k // 2)) + v + [0.0] * (2 - 2 * (k // 2))) for k, v in rows]
+    classes = spark.createDataFrame(rows, "id long, e array<double>")
+    found = projections.pairs(classes, Stash(spark), 0.95, passes=2, window=8, block=8, bits=8)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
