@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; bounds a Python worker's memory.
 STEP_BYTES = 1 << 20
+#: Bytes of a record batch on its way from the JVM to a Python worker; bounds what both hold of it.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,6 +73,11 @@ def forget() -> None:
     """Frees what this worker process has made of a broadcast value, for an operator's step that needs none, and gives memory that
     earlier steps have freed back to the system."""
     _made.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that earlier steps have freed back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -77,6 +85,26 @@ def forget() -> None:
         pass
 
 
+def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], model: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` (for ``mapInArrow``), after which its worker gives freed memory back, and before which one that needs no model of a
+    ``Held`` value forgets it. Spark deals partitions to all of an executor's idle workers in turn: without this, each of them keeps
+    what its largest step took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not model:
+            forget()
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's record batches for Python workers have about BATCH_BYTES at most (a larger row has one of its own)."""
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Held:
     """A broadcast value with a key of its own, by which worker processes remember what they make of it."""
 

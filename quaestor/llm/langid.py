@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaestor.llm.bpe import Lookup
-from quaestor.llm.common import Held, as_before, slices, with_rest
+from quaestor.llm.common import Held, as_before, frugal, slices, with_rest
 from quaestor.llm.kernel import utf8
 
 #: Training rows for each language (by hash of the id, whole texts of any length), and the order of the trees.
 ROWS, ORDER = 400, 3
 #: Code lengths that a worker remembers, over all languages; when it has more, it begins anew.
 CELLS = 1 << 22
+#: Bytes of text whose runs and code lengths a worker holds at once: about 100 bytes for each with four languages.
+STEP = 1 << 19
 UNKNOWN = "und"
 #: Bits of a byte that is not coded at all.
 PLAIN = 8.0
@@ -147,7 +149,7 @@ def _counted(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of this partition's texts, by language."""
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 langs = batch.column("lang").dictionary_encode()
                 codes, at = runs(batch.column("text"), order)
                 row = np.repeat(np.asarray(langs.indices), np.diff(at))
@@ -167,7 +169,7 @@ def learnt(labelled: DataFrame, rows: int = ROWS, order: int = ORDER) -> dict[st
         return {}
     rates = labelled.sparkSession.createDataFrame([(r[0], min(1.0, rows / r[1])) for r in counts], "name string, rate double")
     chosen = fine.join(F.broadcast(rates), F.col("lang") == F.col("name")).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
-    table = chosen.select("lang", "text").mapInArrow(_counted(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")]).combine_chunks()
+    table = chosen.select("lang", "text").mapInArrow(frugal(_counted(order)), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")]).combine_chunks()
     out = {}
     for lang in pc.unique(table["lang"]).to_pylist():
         own = table.filter(pc.equal(table["lang"], lang))
@@ -184,7 +186,7 @@ def predicted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
     row; no rows give no rows.
     """
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rest.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["doc_id"]), "doc_id long, lang_pred string, score double, bits double")
+    return rest.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(frugal(_predictor(docs, training, rows, order, ["doc_id"]), model=True), "doc_id long, lang_pred string, score double, bits double")
 
 
 def accepted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int = ORDER) -> DataFrame:
@@ -195,7 +197,7 @@ def accepted(docs: DataFrame, training: DataFrame, rows: int = ROWS, order: int
     """
     held = with_rest(docs)
     schema = T.StructType([held.schema["text"], held.schema["rest"]]).add("lang_pred", "string").add("score", "double").add("bits", "double")
-    out = held.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(_predictor(docs, training, rows, order, ["text", "rest"]), schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < PLAIN))
+    out = held.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(frugal(_predictor(docs, training, rows, order, ["text", "rest"]), model=True), schema).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < PLAIN))
     back = as_before(out.withColumn("rest", F.col("rest").withField("lang", F.coalesce("rest.lang", "lang_pred"))) if "lang" in docs.columns else out, docs)
     return back
 
@@ -208,7 +210,7 @@ def _predictor(docs: DataFrame, training: DataFrame, rows: int, order: int, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.made(lambda value: Model(*value)) if found else None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 fine = np.asarray(batch.column("letters").fill_null(False)) & (model is not None)
                 langs, score, each = np.full(len(fine), UNKNOWN, dtype=object), np.zeros(len(fine)), np.zeros(len(fine))
                 if fine.any():

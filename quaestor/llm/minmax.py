@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import Held, Stash, slices
+from quaestor.llm.common import Held, Stash, frugal, slices
 from quaestor.llm.components import components
 from quaestor.llm.kernel import U, mix, shingles, word_hashes
-from quaestor.llm.sieve import sieve
+from quaestor.llm.sieve import Sieve
 
 #: 32 bands of 5 values, from 80 permutations: a pair with similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
+#: Bytes of text whose words and shingles a worker holds at once: about 120 bytes for each.
+STEP = 1 << 19
 
 
 #: Counters of the sketch that orders grams by how common they are.
@@ -47,7 +49,7 @@ def signature(grams: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int =
 def _sign(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 grams, at = shingles(*word_hashes(batch.column("text")), n)
                 count = np.diff(at)
                 some = np.flatnonzero(count)
@@ -68,10 +70,10 @@ def _sign(n: int, bands: int, rows: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: Sieve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole.filter(wanted.has(whole.column("doc_id"))), "text", STEP):
                 grams, at = shingles(*word_hashes(batch.column("text")), n)
                 d1 = np.array([mix(grams[a:b]).sum() if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))], ["id", "d1", "grams"])
@@ -82,9 +84,7 @@ def _sets(n: int):
 def _full(members: DataFrame, docs: DataFrame, n: int, stash: Stash) -> DataFrame:
     """(id, grams): the full sets of these representatives (id, d1). Texts are read again but never shuffled: a filter of the ids, of
     bounded size, lets few others through, and the join is on sets."""
-    wanted = sieve(members)
-    text = docs.where(wanted("doc_id"))
-    sets = text.mapInArrow(_sets(n), "id long, d1 long, grams array<long>").join(members.select("id", F.col("d1").alias("own")).hint("merge"), "id")
+    sets = docs.mapInArrow(frugal(_sets(n, Sieve(members))), "id long, d1 long, grams array<long>").join(members.select("id", F.col("d1").alias("own")).hint("merge"), "id")
     return stash.put(sets.where("d1 = own").dropDuplicates(["id"]).select("id", "grams"))
 
 
@@ -136,9 +136,9 @@ def _between(sets: DataFrame, percent: int) -> DataFrame:
     sketch bears on the work, not on the result. At each gram the rows outside its commonest component meet all others.
     """
     seen = np.zeros(SKETCH, dtype=np.uint16)
-    for chunk, part in sets.mapInArrow(_tallied, "chunk int, seen binary").groupBy("chunk").applyInArrow(_summed, "chunk int, seen binary").collect():  # 64 rows
+    for chunk, part in sets.mapInArrow(frugal(_tallied), "chunk int, seen binary").groupBy("chunk").applyInArrow(_summed, "chunk int, seen binary").collect():  # 64 rows
         seen[chunk * (SKETCH // 64) : (chunk + 1) * (SKETCH // 64)] = np.frombuffer(part, dtype=np.uint16)
-    rows = sets.mapInArrow(_prefixes(Held(sets.sparkSession, seen), percent), "gram long, place long, id long, n long, c long")
+    rows = sets.mapInArrow(frugal(_prefixes(Held(sets.sparkSession, seen), percent)), "gram long, place long, id long, n long, c long")
     main = rows.groupBy("gram", "c").count().groupBy("gram").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("gram", "main")
     rows = rows.join(main.hint("merge"), "gram")
     other = rows.select("gram", F.col("place").alias("place2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stash = Stash(spark)
-    signed = stash.put(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    signed = stash.put(docs.mapInArrow(frugal(_sign(n, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stash.put(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")))
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
@@ -199,7 +199,7 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, n, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     # Rows whose id is repeated or goes: a filter of these ids, of bounded size, spares most other rows the shuffle.
     special = Stash(docs.sparkSession).put(found.where("times > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"))
-    asked = sieve(special)(F.col("doc_id").cast("long"))
+    asked = Sieve(special)(F.col("doc_id").cast("long"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     rest = docs.where(asked).join(special.where("not kept").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return rest.select(*names).unionByName(docs.where(~asked).select(*names))

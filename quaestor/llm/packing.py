@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm import bpe
-from quaestor.llm.common import Held, Stash, forget, slices
+from quaestor.llm.common import Held, Stash, frugal, slices
 
 WINDOW = 4096
 #: Queues of one round-robin; sources beyond them are mixed by round-robins of their own, whose streams are its last queues.
@@ -30,6 +30,8 @@ SCALE = 1 << 30
 OFFSETS = 1_000_000
 #: Tokens whose pieces are found at once; a longer document is cut there as well.
 BLOCK = 1 << 16
+#: Bytes of text that are encoded at once.
+STEP = 1 << 19
 
 Pieces = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -218,7 +220,7 @@ def _tokens(held, end_id: int):
         own, shard, totals = bpe.codec(held), TaskContext.get().partitionId(), {}
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 ids = [x + tail for x in own.encode([x or "" for x in batch.column("text").to_pylist()])]
                 starts = []
                 for q, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
@@ -237,7 +239,6 @@ COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 
 def _cut(plans: list, leaf: list[tuple[int, int]], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         places = Streams(plans, leaf)
         for whole in batches:
             for batch in slices(whole, "ids", 4 * BLOCK):
@@ -250,7 +251,8 @@ def _cut(plans: list, leaf: list[tuple[int, int]], with_ids: bool):
                     row, start = rows[row], start + at
                     parts = [texts[r][4 * a : 4 * (a + k)] for r, a, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
                     columns = [pa.array(doc[row]) if not batch.column("doc_id").null_count else batch.column("doc_id").take(pa.array(row)), *map(pa.array, (start, n, np.array([*map(zlib.crc32, parts)], dtype=np.int64), size[row], window, offset))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if with_ids else columns, [*COLUMNS, "ids"] if with_ids else [*COLUMNS])
+                    # Of copies: Arrow never lets go of a memoryview that it has made an array of, nor of the bytes behind it.
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([*map(bytes, parts)], pa.binary())] if with_ids else columns, [*COLUMNS, "ids"] if with_ids else [*COLUMNS])
 
     return run
 
@@ -280,7 +282,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
         numbers = spark.createDataFrame([*zip(top, range(len(top)), strict=True)], "name string, queue int")
         docs = docs.join(F.broadcast(numbers) if len(top) <= OFFSETS else numbers.hint("merge"), F.col("source").eqNullSafe(F.col("name")))
     held = Held(spark, bpe.load(path))
-    coded = stash.put(docs.select("doc_id", "text", "queue").mapInArrow(_tokens(held, end_id), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
+    coded = stash.put(docs.select("doc_id", "text", "queue").mapInArrow(frugal(_tokens(held, end_id), model=True), "doc_id long, queue int, shard int, place long, doc_tokens long, ids binary"))
     sums = coded.groupBy("shard", "queue").agg(F.sum("doc_tokens").alias("n"))
     offsets = stash.put(sums.select("shard", "queue", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("shard")) - F.col("n")).alias("before")))
     by_queue = {r[0]: r[1] for r in offsets.groupBy("queue").agg(F.sum("n")).collect()}
@@ -290,4 +292,4 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, we
     small = F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets.hint("merge")
     placed = coded.join(small, ["shard", "queue"]).select("doc_id", "queue", (F.col("before") + F.col("place")).alias("place"), "ids")
     schema = ", ".join(f"{c} long" for c in COLUMNS) + (", ids binary" if with_ids else "")
-    return placed.mapInArrow(_cut(plans, leaf, with_ids), schema)
+    return placed.mapInArrow(frugal(_cut(plans, leaf, with_ids)), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import Held, Stash, as_before, slices, with_rest
+from quaestor.llm.common import Held, Stash, as_before, frugal, slices, with_rest
 from quaestor.llm.kernel import U, utf8, word_hashes
 
 #: Buckets of the hashed n-grams; lengths of the byte n-grams; labelled rows that the target model is fitted on, at most.
@@ -19,6 +19,8 @@ BUCKETS, LENGTHS, LABELLED = 1 << 16, (2, 3, 4), 20_000
 #: Buckets of their own for whether a word repeats the one before, the one before that, both or none: generated spam does.
 PATTERNS = 4
 CHUNK = 1024
+#: Bytes of text whose n-grams a worker holds at once: about 200 bytes for each.
+STEP = 1 << 18
 SIZE = BUCKETS + CHUNK
 #: How many kept bad documents weigh as much as one lost good one (both as shares): a lost one can't be got back. The allowance
 #: below the border for the draw's noise: Gumbel noise is below -3 once in 5e8 rows.
@@ -56,7 +58,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk of buckets a row with the counts of this partition: of all rows, and of the target rows."""
     raw, target = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=np.int64)
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 19):
+        for batch in slices(whole, "text", STEP):
             b, row = grams(batch.column("text"))
             raw += np.bincount(b, minlength=SIZE)
             good = np.asarray(batch.column("quality").fill_null(0)) == 1
@@ -76,7 +78,7 @@ def _weighed(held, keep: tuple[str, ...] = ("doc_id", "quality")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = held.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 19):
+            for batch in slices(whole, "text", STEP):
                 b, row = grams(batch.column("text"))
                 weight = np.bincount(row, weights=ratio[b], minlength=batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(np.bincount(row, minlength=batch.num_rows)), pa.array(weight)], [*keep, "n_grams", "log_weight"])
@@ -128,7 +130,7 @@ def accepted(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     _, least, ratio = _keyed(docs, labels, k, seed)
     held = with_rest(docs)
     schema = T.StructType([held.schema["doc_id"], held.schema["text"], held.schema["rest"]]).add("n_grams", "long").add("log_weight", "double")
-    out = held.mapInArrow(_weighed(Held(docs.sparkSession, ratio), ("doc_id", "text", "rest")), schema)
+    out = held.mapInArrow(frugal(_weighed(Held(docs.sparkSession, ratio), ("doc_id", "text", "rest"))), schema)
     return as_before(out.where(_key(seed) >= F.lit(least)), docs)
 
 
@@ -157,10 +159,10 @@ def _keyed(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tupl
     chosen = clean.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < int(min(1.0, LABELLED / max(count, 1)) * (1 << 20))).limit(2 * LABELLED).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left")
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
-    for c, r, t in rows.mapInArrow(_counted, "chunk int, raw binary, target binary").groupBy("chunk").applyInArrow(_summed, "chunk int, raw binary, target binary").collect():  # SIZE / CHUNK rows
+    for c, r, t in rows.mapInArrow(frugal(_counted), "chunk int, raw binary, target binary").groupBy("chunk").applyInArrow(_summed, "chunk int, raw binary, target binary").collect():  # SIZE / CHUNK rows
         raw[c : c + CHUNK], target[c : c + CHUNK] = np.frombuffer(r, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
     ratio = np.log((target + 1) / (target.sum() + BUCKETS + PATTERNS)) - np.log((raw + 1) / (raw.sum() + BUCKETS + PATTERNS)) if target.any() else np.zeros(SIZE)
-    weighed = stash.put(rows.mapInArrow(_weighed(Held(spark, ratio)), "doc_id long, quality int, n_grams long, log_weight double"))
+    weighed = stash.put(rows.mapInArrow(frugal(_weighed(Held(spark, ratio))), "doc_id long, quality int, n_grams long, log_weight double"))
     keyed = weighed.withColumn("key", _key(seed))
     if k is None:
         known = np.array([tuple(r) for r in weighed.where("quality is not null").select("quality", "log_weight").collect()], dtype=float).reshape(-1, 2)  # 2 * LABELLED rows at most

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import Held
+from quaestor.llm.common import Held, frugal
 from quaestor.llm.kernel import STEP, U, mix
 
 #: Bits for an id, and the logarithm of the most bits (32 MB): of more ids the filter lets more others through, and loses none.
@@ -45,20 +45,30 @@ def _united(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()])})
 
 
-def sieve(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test of a long column: true for every id of ``ids`` (id: long, not null) and for some others; false for null and, where
-    ``ids`` is empty, for all."""
-    count = ids.agg(F.approx_count_distinct("id")).first()[0]
-    log = min(max(LEAST, int(count * EACH).bit_length()), MOST)
-    bits = np.zeros((1 << log) >> 3, dtype=np.uint8)
-    for chunk, part in ids.select("id").mapInArrow(_marked(log), "chunk int, bits binary").groupBy("chunk").applyInArrow(_united, "chunk int, bits binary").collect():  # 32 MB at most
-        bits[chunk * CHUNK : chunk * CHUNK + len(part)] = np.frombuffer(part, np.uint8)
-    held = Held(ids.sparkSession, bits)
-
-    @F.arrow_udf("boolean")
-    def test(x: pa.Array) -> pa.Array:
-        at = _places(np.asarray(pc.fill_null(x, 0)).astype(np.int64), log)
-        hit = (held.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1)
+class Sieve:
+    """A test of long values: true for every id of ``ids`` (id: long, not null) and for some others; false for null and, where ``ids``
+    is empty, for all. Called on a column it gives one; a step for ``mapInArrow`` asks ``has`` itself, as a column's test below it
+    would take a worker of its own beside that of the step."""
+
+    def __init__(self, ids: DataFrame):
+        count = ids.agg(F.approx_count_distinct("id")).first()[0]
+        self.log = min(max(LEAST, int(count * EACH).bit_length()), MOST)
+        bits = np.zeros((1 << self.log) >> 3, dtype=np.uint8)
+        for chunk, part in ids.select("id").mapInArrow(frugal(_marked(self.log)), "chunk int, bits binary").groupBy("chunk").applyInArrow(_united, "chunk int, bits binary").collect():  # 32 MB at most
+            bits[chunk * CHUNK : chunk * CHUNK + len(part)] = np.frombuffer(part, np.uint8)
+        self.held = Held(ids.sparkSession, bits)
+
+    def has(self, x: pa.Array) -> pa.Array:
+        at = _places(np.asarray(pc.fill_null(x, 0)).astype(np.int64), self.log)
+        hit = (self.held.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1)
         return pc.and_(pa.array(hit.reshape(HASHES, -1).all(axis=0)), pc.is_valid(x))
 
-    return test
+    def __call__(self, column: Column) -> Column:
+        @F.arrow_udf("boolean")
+        def test(x: pa.Array) -> pa.Array:
+            return self.has(x)
+
+        return test(column)
+
+
+sieve = Sieve
