@@ -20,7 +20,7 @@ from quaestor.llm.kernel import utf8
 ROWS, ORDER = 400, 3
 #: Code lengths that a worker remembers, over all languages; when it has more, it begins anew.
 CELLS = 1 << 22
-#: Bytes of text whose runs and code lengths a worker holds at once: about 100 bytes for each with four languages.
+#: Bytes of text whose runs and code lengths a worker holds at once.
 STEP = 1 << 19
 UNKNOWN = "und"
 #: Bits of a byte that is not coded at all.

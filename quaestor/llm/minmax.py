@@ -16,7 +16,7 @@ from quaestor.llm.sieve import Sieve
 
 #: 32 bands of 5 values, from 80 permutations: a pair with similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Bytes of text whose words and shingles a worker holds at once: about 120 bytes for each.
+#: Bytes of text whose words and shingles a worker holds at once.
 STEP = 1 << 19
 
 

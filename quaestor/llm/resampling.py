@@ -19,7 +19,7 @@ BUCKETS, LENGTHS, LABELLED = 1 << 16, (2, 3, 4), 20_000
 #: Buckets of their own for whether a word repeats the one before, the one before that, both or none: generated spam does.
 PATTERNS = 4
 CHUNK = 1024
-#: Bytes of text whose n-grams a worker holds at once: about 200 bytes for each.
+#: Bytes of text whose n-grams a worker holds at once.
 STEP = 1 << 18
 SIZE = BUCKETS + CHUNK
 #: How many kept bad documents weigh as much as one lost good one (both as shares): a lost one can't be got back. The allowance
